@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality
+from . import bpe, mpeg, pii, quality
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -19,6 +19,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.read_back(mpeg.store(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
