@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mpeg, pii, quality
+from . import bpe, mpeg, pii, quality, warc
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -19,6 +19,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.read_back(mpeg.store(table(spark, sf_dir, "documents")))
 
@@ -31,9 +35,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_SQL = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html AS h, max(page_id) AS top, count(*) AS n FROM p GROUP BY html)
+        SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN strlen(html) >= 1000 AND n > 1 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(html) >= 1000 AND n > 1 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+        FROM p JOIN g ON html = h""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
