@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mpeg, pii, quality, warc
+from . import bpe, minhash, mixing, mpeg, pii, quality, warc
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -24,6 +24,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
