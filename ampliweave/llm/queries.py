@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, mpeg, pii, quality, warc
+from . import bpe, minhash, mixing, mpeg, pii, quality, secrets, warc
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.read_back(mpeg.store(table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ _SQL = {
         SELECT doc_id, size, source_size, target,
                CAST(greatest(0, least(size, floor(target) - pos)) + greatest(0, least(size, floor(target) - source_size - pos)) + greatest(0, least(size, floor(target) - 2 * source_size - pos)) AS BIGINT) AS taken
         FROM c""",
+    "op6_secrets": secrets.oracle_sql(),
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         g AS (SELECT html AS h, max(page_id) AS top, count(*) AS n FROM p GROUP BY html)
