@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, mpeg, pii, quality, secrets, warc
+from . import bpe, minhash, mixing, mpeg, pii, quality, repeats, secrets, warc, wordpiece
 from .common import table
 
 #: Folder of the public vocabulary files.
@@ -20,6 +20,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_training_order(planned).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,10 @@ def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.read_back(mpeg.store(table(spark, sf_dir, "documents")))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.remove(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", emit=("n_tokens", "ids_sha256", "decoded_sha256"))
 
