@@ -7,9 +7,9 @@
 2. Candidates. BANDS bands of ROWS_PER_BAND components each. Every member of a bucket is paired with the bucket's least node: n - 1 pairs, never all.
 3. Verification. Pairs whose signatures agree in fewer than PRUNE of the components can't be at the threshold (more than five standard errors away); for the others the
    Jaccard similarity of the shingle sets is computed exactly from the texts.
-4. The rest, exactly. Where a bucket's members are in several components after step 3, its largest component is dealt into blocks of BLOCK rows by hash,
-   so is the rest, and each pair of blocks with the rest in it goes to one group of at most a few BLOCKs of rows, which compares signatures across components and
-   emits only pairs that pass PRUNE. So no bucket has a cap, and none lands in one task.
+4. The rest, exactly. Where a bucket's members are in several components after step 3, its largest component is dealt into blocks of about BLOCK bytes of shingles by hash,
+   so is the rest, and each pair of blocks with the rest in it goes to one group, which computes all similarities between components and emits a forest of links,
+   fewer than the group has members. So no bucket has a cap, none lands in one task, and no pairs are listed.
 5. Components by least labels with pointer jumping; edges and labels are tables in the shared folder.
 
 Result: one row a document with its class_id, the least doc_id of its class.
@@ -39,8 +39,10 @@ BANDS, ROWS_PER_BAND = 32, 4
 SIZE = BANDS * ROWS_PER_BAND
 #: Share of agreeing components below which a pair is not verified.
 PRUNE = 0.6
-#: Rows of one component set that meet in a group.
-BLOCK = 128
+#: Bytes of shingle hashes in a block, and its nodes, about; a group has two blocks.
+BLOCK, BLOCK_ROWS = 1 << 21, 512
+#: Shingles that are compared at a time.
+COLUMNS = 4096
 _FIND = re.compile(WORD).findall
 _U = np.uint64
 _REMEMBERED = 400_000
@@ -143,12 +145,12 @@ def _pruned(pairs: DataFrame, lows: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(close("la", "lb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more, computed from the texts of one document each.
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and shingles (sorted distinct hashes as bytes) of the wanted nodes, from the text of one document each; a table.
 
     docs: doc, x and text; nodes: node and the doc and x of one row that has it.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "doc", "x")
+    wanted = wanted.join(nodes, "node").select("node", "doc", "x")
     shingler = Shingler()
 
     def rows(node: list, texts: list) -> Iterator[tuple]:
@@ -156,7 +158,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield k, np.unique(shingler.shingles(shingler.words(t))).tobytes()
 
     sets = map_rows(docs.join(wanted, ["doc", "x"]).select("node", "text"), rows, "node binary, shingles binary").dropDuplicates(["node"])
-    sets = cut(sets, "near-sets")
+    return cut(sets, "near-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, nodes)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
@@ -172,6 +179,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(similar("sa", "sb")).select("a", "b")
 
 
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, as products of 0/1 matrices a few thousand shingles wide."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # a shingle of one set adds nothing
+    use = count[place] > 1
+    owner, place = owner[use], shared[place[use]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, (low, low + COLUMNS))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:b], place[a:b] - low] = 1
+        out += m @ m.T
+    return out
+
+
+def links(labels: list, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of pairs at THRESHOLD or more that joins the same labels as all such pairs do."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    size, both = np.array([len(s) for s in sets]), common_shingles(sets)
+    alike = both >= THRESHOLD * (size[:, None] + size[None, :] - both)
+    number = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for i in range(len(sets) - 1):
+        for j in np.flatnonzero(alike[i, i + 1 :] & (number[i + 1 :] != number[i])) + i + 1:
+            p, q = find(number[i]), find(number[j])
+            if p != q:
+                root[p] = q
+                out.append((i, int(j)))
+    return out
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: the least node of its connected component, for every node of an edge. edges must be a table (it is read again and again)."""
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u != v")
@@ -190,43 +237,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
-def _residual(buckets: DataFrame, lows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of step 4: across components, in buckets with several, by blocks."""
-    big = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 2")
+def _residual(buckets: DataFrame, labels: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of step 4: across components, in buckets with several, by blocks."""
+    big = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2")
     member = buckets.join(big.select("bucket"), "bucket").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     member = cut(member, "near-members")
     sizes = member.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    shape = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     # buckets of the same members, in several bands, are one
-    sets = member.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"), F.count("*").alias("m"))
-    shape = shape.join(sets.groupBy("h", "h2", "m").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
-    shape = shape.select(
-        "bucket", F.col("top.label").alias("top"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("n") - F.col("top.k")) / BLOCK).cast("int").alias("rest_blocks")
-    )
-    m = member.join(shape, "bucket")
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("top"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
-    m = m.withColumn("own", own)
+    same = member.groupBy("bucket").agg(F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"), F.count("*").alias("m"))
+    shape = shape.join(same.groupBy("h", "h2", "m").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+    shape = cut(shape.select("bucket", F.col("top.label").alias("top")), "near-shapes")
+    own = member.join(shape, "bucket").select("bucket", "node", "label", (F.col("label") == F.col("top")).alias("main"))
+    sets = _sets(own.select("node").distinct(), texts, nodes)
+    own = cut(own.join(sets.select("node", F.octet_length("shingles").alias("bytes")), "node"), "near-members")
+    blocks = lambda which: F.least(F.count_if(which), F.greatest(F.ceil(F.count_if(which) / BLOCK_ROWS), F.ceil(F.sum(F.when(which, F.col("bytes"))) / BLOCK))).cast("int")
+    dealt = own.groupBy("bucket").agg(blocks(F.col("main")).alias("main_blocks"), blocks(~F.col("main")).alias("rest_blocks"))
+    m = own.join(cut(dealt, "near-shapes"), "bucket")
+    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int"))
     # Blocks of the rest are numbered from 0, those of the largest component from -1 downwards; a group is a block of the rest and one more block.
     rest = F.concat(
         F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j"))),
         F.transform(F.sequence(F.lit(1), F.col("main_blocks")), lambda j: F.struct(F.col("own").alias("i"), (-j).alias("j"))),
     )
     main = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
-    dealt = m.select("bucket", "node", "label", F.explode(F.when(F.col("label") == F.col("top"), main).otherwise(rest)).alias("g"))
-    dealt = dealt.join(lows, "node").select("bucket", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "node", "label", "low")
+    m = m.select("bucket", "node", "label", F.explode(F.when(F.col("main"), main).otherwise(rest)).alias("g"))
+    m = m.join(sets, "node").select("bucket", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "node", "label", "shingles")
 
     def compare(group: pa.Table) -> pa.Table:
-        node, label = group["node"].to_pylist(), np.unique(group["label"].to_pylist(), return_inverse=True)[1]
-        low = np.frombuffer(b"".join(group["low"].to_pylist()), np.uint8).reshape(-1, SIZE)
-        a, b = [], []
-        for x in range(len(node) - 1):
-            for y in np.flatnonzero(((low[x + 1 :] == low[x]).mean(axis=1) >= PRUNE) & (label[x + 1 :] != label[x])) + x + 1:
-                p, q = sorted((node[x], node[y]))
-                a.append(p)
-                b.append(q)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        node = group["node"].to_pylist()
+        found = links(group["label"].to_pylist(), [np.frombuffer(s, _U) for s in group["shingles"].to_pylist()])
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.binary()), "b": pa.array([node[j] for _, j in found], pa.binary())})
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return m.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def node_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -243,11 +286,9 @@ def node_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     texts = docs.select(own, F.xxhash64(text).alias("x"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     edges = cut(_verified(cut(_pruned(pairs, lows), "near-pairs"), texts, nodes), "near-edges")
     labels = components(edges)
-    more = cut(_residual(buckets.select("bucket", "node"), lows, labels), "near-pairs")
+    more = cut(_residual(buckets.select("bucket", "node"), labels, texts, nodes), "near-edges")
     if not more.isEmpty():
-        more = cut(_verified(more, texts, nodes), "near-edges")
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+        labels = components(edges.union(more))
     return sketched.select(key, "doc", "x", "node"), labels
 
 
