@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_FIND = re.compile(WORD).findall
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # white space to str.split() alone
 #: Rows that an Arrow operator holds as Python objects at a time.
 ROWS = 512
 
@@ -71,6 +74,11 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: Struct
     return df.mapInArrow(run, schema)
 
 
+def words_of(text: str) -> list[str]:
+    """All matches of WORD."""
+    return _FIND(text) if _ODD(text) else text.split()
+
+
 def text_of(column: str = "text"):
     """A text column in which null is empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -22,7 +22,6 @@ Columns besides doc_id and text aren't read by classes(); dedup() passes them on
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, map_rows
+from .common import cut, map_rows, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -43,7 +42,6 @@ PRUNE = 0.6
 BLOCK, BLOCK_ROWS = 1 << 21, 512
 #: Shingles that are compared at a time.
 COLUMNS = 4096
-_FIND = re.compile(WORD).findall
 _U = np.uint64
 _REMEMBERED = 400_000
 _MULTIPLIERS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
@@ -65,7 +63,7 @@ class Shingler:
         self.hash: dict[str, int] = {}
 
     def words(self, text: str) -> list[str]:
-        return _FIND(text)
+        return words_of(text)
 
     def shingles(self, words: list[str]) -> np.ndarray:
         if len(self.hash) > _REMEMBERED:

@@ -13,14 +13,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, WORD, map_rows
+from .common import ROWS, map_rows, words_of
 
 #: Hash buckets of n-grams; the model that goes to every task is one double for each.
 BUCKETS = 1 << 16
@@ -30,48 +29,64 @@ TRUSTED_ROWS = 20_000
 THRESHOLD = -0.25
 #: Words that a worker remembers between documents.
 REMEMBERED = 500_000
-_FIND = re.compile(WORD).findall
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _SYMBOLS = "#*$%&|<>"
 
 
 class Words:
-    """Numbers for words, and the hashes of each word's tokens."""
+    """Numbers for words, and the hashes of each word's tokens in one array."""
 
     def __init__(self) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.tokens: list[list[int]] = []
-
-    def of(self, text: str) -> tuple[list[str], list[int]]:
-        words = _FIND(text)
-        number = self.number
-        if len(number) > REMEMBERED:
-            number.clear()
-            self.tokens.clear()
-        try:
-            return words, list(map(number.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    self.tokens.append([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in _TOKENS(w)] or [zlib.crc32(w.encode("utf-8", "surrogatepass"))])
-            return words, list(map(number.__getitem__, words))
-
-    def grams(self, numbers: list[int]) -> np.ndarray:
+        self.hashes, self.first, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def of(self, text: str) -> tuple[list[str], np.ndarray]:
+        words = words_of(text)
+        new = set(words).difference(self.number)
+        if new:
+            if len(self.number) + len(new) > REMEMBERED and self.number:
+                self._forget()
+                new = set(words)
+            self._learn(new)
+        return words, np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, words: set[str]) -> None:
+        hashes, counts = [], []
+        for w in words:
+            self.number[w] = len(self.number)
+            own = (w,) if w.isalnum() else _TOKENS(w) or (w,)
+            counts.append(len(own))
+            hashes += [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in own]
+        n, to = len(self.number), self.used + len(hashes)
+        while n > len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        while to > len(self.hashes):
+            self.hashes = np.resize(self.hashes, 2 * len(self.hashes))
+        self.hashes[self.used : to] = hashes
+        self.count[n - len(words) : n] = counts
+        self.first[n - len(words) : n] = self.used + np.cumsum(counts) - counts
+        self.used = to
+
+    def grams(self, numbers: np.ndarray) -> np.ndarray:
         """Buckets of the text's uni- and bigrams."""
-        one = np.fromiter(chain.from_iterable(map(self.tokens.__getitem__, numbers)), np.uint64)
+        count = self.count[numbers]
+        place = np.arange(count.sum()) + np.repeat(self.first[numbers] - np.cumsum(count) + count, count)
+        one = self.hashes[place]
         two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         two ^= two >> np.uint64(29)
         two *= np.uint64(0xBF58476D1CE4E5B9)
         return np.concatenate([one % np.uint64(BUCKETS), two >> np.uint64(48)]).astype(np.int64)
 
 
-def repeated_words(numbers: list[int]) -> int:
+def repeated_words(a: np.ndarray) -> int:
     """Words that lie in a three-word window which occurs twice or more."""
-    n = len(numbers) - 2
+    n = len(a) - 2
     if n < 2:
         return 0
-    a = np.array(numbers, np.int64)
     if a.max() < 1 << 21:
         key = a[:-2] << 42 | a[1:-1] << 21 | a[2:]
     else:
@@ -171,6 +186,6 @@ def _rules(ratios, threshold: float):
             n, repeated = len(own), repeated_words(numbers)
             failed = n < 50 or 100 * repeated > 50 * n
             score = float(model[words.grams(numbers)].mean()) if n else 0.0
-            yield k, n, sum(map(len, own)), sum(map(text.count, _SYMBOLS)), duplicate_lines(text), repeated, failed, score, not failed and score >= threshold
+            yield k, n, len("".join(own)), sum(map(text.count, _SYMBOLS)), duplicate_lines(text), repeated, failed, score, not failed and score >= threshold
 
     return rows

@@ -15,7 +15,6 @@ any length. Columns besides the key and the text aren't read.
 from __future__ import annotations
 
 import json
-import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -23,12 +22,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 
 from .bpe import byte_characters
-from .common import WORD, map_rows
+from .common import map_rows, words_of
 
 #: Words whose counts a worker remembers (those of at most LONG characters); at the bound it forgets them and starts anew.
 REMEMBERED = 500_000
 LONG = 64
-_FIND = re.compile(WORD).findall
 _NONE = -1
 
 
@@ -120,7 +118,7 @@ def count_tokens(docs: DataFrame, path: str, continuation: str | None = None, ke
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         count = automaton(path, continuation).count
         for k, t in zip(keys, texts):
-            words = _FIND(t or "")
+            words = words_of(t or "")
             try:
                 counts = list(map(known.__getitem__, words))
             except KeyError:

@@ -5,10 +5,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ampliweave.llm import minhash
+from ampliweave.llm.common import WORD
 
 
 def shingles(text):
-    words = re.findall(minhash.WORD, text or "")
+    words = re.findall(WORD, text or "")
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 

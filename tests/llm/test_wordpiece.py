@@ -1,7 +1,10 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ampliweave.llm import wordpiece
+from ampliweave.llm.common import WORD
 from ampliweave.llm.queries import TOKENIZERS
 
 
@@ -34,7 +37,7 @@ def test_tables(spark, tmp_path):
     got = {r.doc_id: tuple(r)[1:] for r in wordpiece.count_tokens(docs, path).collect()}
     for i, t in enumerate(texts):
         if t != long:
-            counts = [greedy(w.encode(), first, rest) for w in wordpiece._FIND(t or "")]
+            counts = [greedy(w.encode(), first, rest) for w in re.findall(WORD, t or "")]
             assert got[i or None] == (len(counts), sum(counts) + counts.count(0), counts.count(0))
     assert got[5][0] == 1 and got[5][1] > 1000 and wordpiece.count_tokens(docs.limit(0), path).count() == 0
     (tmp_path / "vocab.txt").write_text("un\n##aff\n##able\n")
