@@ -127,4 +127,5 @@ def mix(docs: DataFrame, curriculum=CURRICULUM, most: int = MOST) -> DataFrame:
 def in_training_order(planned: DataFrame) -> DataFrame:
     """plan()'s rows, range-sorted by the position of the first copy; documents that the mix leaves out come last."""
     df = planned.withColumn("first_position", F.try_element_at("copies", F.lit(1))["position"]).withColumn("_sort", F.coalesce("first_position", F.lit(2.0)))
-    return df.repartitionByRange("_sort").sortWithinPartitions("_sort").drop("_sort")
+    df = df.withColumn("_tie", F.xxhash64("doc_id", "size"))  # what the mix leaves out has one place, which may be that of most rows
+    return df.repartitionByRange("_sort", "_tie").sortWithinPartitions("_sort", "_tie").drop("_sort", "_tie")
