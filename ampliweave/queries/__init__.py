@@ -1,8 +1,8 @@
 """Registered queries of the read operators, with SQL for DuckDB where SQL can say it."""
 
-from . import relational, scalars
+from . import alignment, relational, scalars
 
-MODULES = (scalars, relational)
+MODULES = (scalars, relational, alignment)
 
 
 def queries():
