@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..tables import cut, new_path, shared_dir, table  # noqa: F401  the operators import them from here
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 _FIND = re.compile(WORD).findall
@@ -21,42 +21,6 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 ROWS = 512
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one of our own (a temporary one only in local mode)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = getattr(spark, "_ampliweave_shared_dir", None)
-    if own is None:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            own = "file://" + tempfile.mkdtemp(prefix="ampliweave-")
-        else:
-            own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.ampliweave"
-        spark._ampliweave_shared_dir = own
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: StructType | str) -> DataFrame:
     """mapInArrow with plain Python rows: ``rows(lists of columns...)`` gets at most ROWS values a column and yields tuples of schema."""
     if isinstance(schema, str):

@@ -241,23 +241,27 @@ def _covered(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
     keys, (level,) = _asked(batch)
     level = level.astype(np.int64)
     texts = batch.column("text").to_pylist()
-    hit = lambda r, u, n, text: (f := _find(keys, _of_row(u, text))) >= 0 if n is None else ((f := _find(keys, _of_row(u, text))) >= 0) & (level[f] == n)
+
+    def hit(u: np.ndarray, n: int, text: np.ndarray) -> np.ndarray:
+        found = _find(keys, _of_row(u, text))
+        return found >= 0 if not len(level) else (found >= 0) & (level[found] == n)
+
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     starts, ends = [], []
     for r in buffers(texts):
         base = r.text * (1 << 40) + r.shift
-        done = hit(r, r.keys()[0], 1, r.text)
+        done = hit(r.keys()[0], 1, r.text)
         starts.append((base + r.s0)[done])
         ends.append((base + r.s1)[done] + WINDOW)
         x = r.blocks(np.flatnonzero(~done))
         run = x["run"]
-        done = hit(r, x["u1"], 2, r.text[run])
+        done = hit(x["u1"], 2, r.text[run])
         starts.append((base[run] + x["s0"])[done])
         ends.append((base[run] + x["s1"])[done] + WINDOW)
         left = np.flatnonzero(~done)
         which, s = _expand(x["s0"][left], x["s1"][left] - x["s0"][left] + 1)
         run = run[left][which]
-        done = hit(r, r.windows(s)[0], 3, r.text[run])
+        done = hit(r.windows(s)[0], 3, r.text[run])
         starts.append((base[run] + s)[done])
         ends.append((base[run] + s)[done] + WINDOW)
     a, b = np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(ends or [np.zeros(0, np.int64)])
