@@ -193,6 +193,19 @@ def encoder(path: str) -> PairIndexBpe:
 _EMIT = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
+def _encoded(keys: list, encoded: Iterator[list[tuple[str, str, int]]], emit: tuple[str, ...]) -> Iterator[tuple]:
+    for k, own in zip(keys, encoded):
+        ids, decoded = " ".join(x[0] for x in own), " ".join(x[1] for x in own)
+        got = {
+            "n_tokens": lambda: sum(x[2] for x in own),
+            "ids": lambda: list(map(int, ids.split(" "))) if ids else [],
+            "decoded": lambda: decoded,
+            "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
+            "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),
+        }
+        yield (k, *(got[e]() for e in emit))
+
+
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", emit: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """key and, as emit asks, n_tokens, ids, the text decoded from them, and their digests. path: the vocabulary file on every machine.
 
@@ -201,16 +214,10 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         gc.disable()  # millions of long-lived tuples without a cycle among them
-        for k, own in zip(keys, encoder(path).encode_texts([t or "" for t in texts])):
-            ids, decoded = " ".join(x[0] for x in own), " ".join(x[1] for x in own)
-            got = {
-                "n_tokens": lambda: sum(x[2] for x in own),
-                "ids": lambda: list(map(int, ids.split(" "))) if ids else [],
-                "decoded": lambda: decoded,
-                "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
-                "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),
-            }
-            yield (k, *(got[e]() for e in emit))
+        try:
+            yield from _encoded(keys, encoder(path).encode_texts([t or "" for t in texts]), emit)
+        finally:
+            gc.enable()  # the worker's next tasks leave cycles
 
     kind = docs.schema[key].dataType.simpleString()
     return map_rows(docs.select(F.col(key), F.col(text)), rows, f"`{key}` {kind}, " + ", ".join(f"{e} {_EMIT[e]}" for e in emit))
