@@ -131,44 +131,67 @@ def align_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = AL
     return out
 
 
-def local_alignments(ref: str, read: str, scoring: Scoring, n: int = 1, held: set | None = None) -> list[tuple[str, str, float, int, int]]:
-    """The n best local alignments that share no cell: (ref_aln, read_aln, score, place in ref, place in read) (ALN4, ALN7, ALN8).
+def _local(ref: np.ndarray, read: np.ndarray, s: Scoring, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ways back) of n pairs of one shape, each (3, rows + 1, n, columns + 1); nothing is below zero, and held cells are zero."""
+    n, rows, cols = len(ref), ref.shape[1], read.shape[1]
+    table, o, e = s.table(), s.gap_open + s.gap_extend, s.gap_extend
+    sc, ways = np.zeros((3, rows + 1, n, cols + 1)), np.zeros((3, rows + 1, n, cols + 1), np.int8)
+    for x in range(1, rows + 1):
+        m, d, i = sc[:, x - 1]
+        score, free = table[ref[:, x - 1][:, None], read], ~held[x]
+        value, ways[0, x, :, 1:] = _best(d[:, :-1] + score, i[:, :-1] + score, m[:, :-1] + score)
+        sc[0, x, :, 1:] = np.maximum(value, 0) * free[:, 1:]
+        value, ways[1, x, :, 1:] = _best(d[:, 1:] + e, i[:, 1:] + o, m[:, 1:] + o)
+        sc[1, x, :, 1:] = np.maximum(value, 0) * free[:, 1:]
+        for y in range(1, cols + 1):
+            value, ways[2, x, :, y] = _best(sc[1, x, :, y - 1] + o, sc[2, x, :, y - 1] + e, sc[0, x, :, y - 1] + o)
+            sc[2, x, :, y] = np.maximum(value, 0) * free[:, y]
+    return sc, ways
+
+
+Local = tuple[str, str, float, int, int]
+
+
+def local_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring, n: int = 1) -> list[list[Local]]:
+    """For each pair its n best local alignments that share no cell: (ref_aln, read_aln, score, place in ref, place in read) (ALN4, ALN7, ALN8).
 
     After each one its cells are set to zero and the matrix is computed again. Of equal maxima the one nearest to the start is first, then the least place in ref.
     """
-    t, a, b = scoring.table(), ref.encode("latin-1"), read.encode("latin-1")
-    zero: set[tuple[int, int]] = set(held or ())
-    out = []
-    o, e = scoring.gap_open + scoring.gap_extend, scoring.gap_extend
-    for _ in range(n):
-        s = [[[0.0] * 3 for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
-        way = [[[0] * 3 for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
-        top = (0.0, 0, 0, 0)
-        for x in range(1, len(a) + 1):
-            for y in range(1, len(b) + 1):
-                if (x, y) in zero:
-                    continue
-                p, q, r, sc = s[x - 1][y - 1], s[x - 1][y], s[x][y - 1], t[a[x - 1], b[y - 1]]
-                for z, (up, left, diag) in enumerate(((p[1] + sc, p[2] + sc, p[0] + sc), (q[1] + e, q[2] + o, q[0] + o), (r[1] + o, r[2] + e, r[0] + o))):
-                    value, to = (up, 1) if up > left and up > diag else (left, 2) if up <= left and left > diag else (diag, 0)
-                    s[x][y][z], way[x][y][z] = max(0.0, float(value)), to
-                best = max(s[x][y])
-                if best > top[0] or best == top[0] > 0 and (x + y, x) < (top[1] + top[2], top[1]):
-                    top = (best, x, y, max(range(3), key=lambda c: (s[x][y][c], c)))
-        score, x, y, z = top
-        if not score:
-            break
-        ra, rb = [], []
-        while x and y and s[x][y][z]:
-            zero.add((x, y))
-            to = way[x][y][z]
-            ra.append("-" if z == 2 else ref[x - 1])
-            rb.append("-" if z == 1 else read[y - 1])
-            x, y, z = x - (z != 2), y - (z != 1), to
-        out.append(("".join(ra[::-1]), "".join(rb[::-1]), score, x, y))
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(zip(refs, reads)):
+        if x and y:
+            shapes.setdefault((len(x), len(y)), []).append(k)
+    out: list[list[Local]] = [[] for _ in refs]
+    for (rows, cols), own in shapes.items():
+        size = max(1, HELD // (28 * (rows + 1) * (cols + 1)))
+        for at in range(0, len(own), size):
+            part = own[at : at + size]
+            a, b = (np.frombuffer("".join(t[k] for k in part).encode("latin-1"), np.uint8).reshape(len(part), -1) for t in (refs, reads))
+            held = np.zeros((rows + 1, len(part), cols + 1), bool)
+            for _ in range(n):
+                sc, ways = _local(a, b, scoring, held)
+                top = sc.max(axis=0)
+                for j, k in enumerate(part):
+                    one = top[:, j, :]
+                    if not (score := float(one.max())):
+                        continue
+                    x, y = min(np.argwhere(one == score).tolist(), key=lambda c: (c[0] + c[1], c[0]))
+                    z = max(range(3), key=lambda c: (sc[c, x, j, y], c))
+                    ra, rb = [], []
+                    while x and y and sc[z, x, j, y]:
+                        held[x, j, y] = True
+                        to = int(ways[z, x, j, y])
+                        ra.append("-" if z == 2 else refs[k][x - 1])
+                        rb.append("-" if z == 1 else reads[k][y - 1])
+                        x, y, z = x - (z != 2), y - (z != 1), to
+                    out[k].append(("".join(ra[::-1]), "".join(rb[::-1]), score, x, y))
     return out
 
 
+def local_alignments(ref: str, read: str, scoring: Scoring, n: int = 1) -> list[Local]:
+    return local_pairs([ref], [read], scoring, n)[0]
+
+
 _RC = str.maketrans("ACGTRYKMBVDHSWNacgt", "TGCAYRMKVBHDSWNtgca")
 
 
@@ -188,25 +211,30 @@ def cigar_of(ref_aln: str, read_aln: str) -> str:
     return "".join((*out, f"{n}{last}" if n else ""))
 
 
-def align_with_inversion(ref: str, read: str, scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4) -> tuple[str, str, float, str]:
-    """(ref_aln, read_aln, score, cigar) where one stretch of the read may be inverted (ALN9): it stands reverse-complemented, between < and > in the CIGAR.
+def pairs_with_inversion(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4) -> list[tuple[str, str, float, str]]:
+    """(ref_aln, read_aln, score, cigar) of pairs where one stretch of the read may be inverted (ALN9): it stands reverse-complemented, between < and > in the CIGAR.
 
-    The stretch is one of the best local alignments with the read's reverse complement, of at least so many reference bases; the plain alignment wins ties.
+    The stretch is one of the best ``hits`` local alignments with the read's reverse complement, of at least so many reference bases; the plain alignment wins ties.
     """
-    a, b, score = align_pairs([ref], [read], scoring)[0]
-    best = (a, b, score, cigar_of(a, b))
-    turned = reverse_complement(read)
-    for x, y, inner, at, start in local_alignments(ref, turned, scoring, hits):
-        n, m = len(x.replace("-", "")), len(y.replace("-", ""))
-        if n < least:
-            continue
-        c, d = len(read) - start - m, len(read) - start
-        (a1, b1, s1), (a2, b2, s2) = align_pairs([ref[:at], ref[at + n :]], [read[:c], read[d:]], scoring)
-        if s1 + inner + s2 + penalty > best[2]:
-            best = (a1 + x + a2, b1 + y + b2, s1 + inner + s2 + penalty, f"{cigar_of(a1, b1)}<{cigar_of(x, y)}>{cigar_of(a2, b2)}")
+    best = [(a, b, score, cigar_of(a, b)) for a, b, score in align_pairs(refs, reads, scoring)]
+    tries = []  # pair, inverted part, and the flanks on either side
+    for k, found in enumerate(local_pairs(refs, [reverse_complement(r) for r in reads], scoring, hits)):
+        for x, y, inner, at, start in found:
+            n, m = len(x.replace("-", "")), len(y.replace("-", ""))
+            if n >= least:
+                c, d = len(reads[k]) - start - m, len(reads[k]) - start
+                tries.append((k, x, y, inner, (refs[k][:at], reads[k][:c]), (refs[k][at + n :], reads[k][d:])))
+    left, right = (align_pairs([t[i][0] for t in tries], [t[i][1] for t in tries], scoring) for i in (4, 5))
+    for (k, x, y, inner, _, _), (a1, b1, s1), (a2, b2, s2) in zip(tries, left, right):
+        if s1 + inner + s2 + penalty > best[k][2]:
+            best[k] = (a1 + x + a2, b1 + y + b2, s1 + inner + s2 + penalty, f"{cigar_of(a1, b1)}<{cigar_of(x, y)}>{cigar_of(a2, b2)}")
     return best
 
 
+def align_with_inversion(ref: str, read: str, scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4) -> tuple[str, str, float, str]:
+    return pairs_with_inversion([ref], [read], scoring, least, penalty, hits)[0]
+
+
 # -- exact seeds -------------------------------------------------------------------------------------------------------------------------
 def seeds(ref: str, read: str, least: int = 8) -> list[tuple[int, int, int]]:
     """(place in ref, place in read, length): from the left of the read the longest exact match of at least so many bases, case ignored (ALN11)."""
@@ -303,22 +331,34 @@ def _mapped(df: DataFrame, columns: Sequence[str], fields: Sequence[StructField]
 _ALIGNED = [StructField("ref_aln", StringType()), StructField("read_aln", StringType()), StructField("score", DoubleType()), StructField("cigar", StringType())]
 
 
-def align(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq") -> DataFrame:
-    """df with ref_aln, read_aln, score and cigar of its pairs (ALN2, ALN3); null where either is null. Narrow."""
+def _sound(of_pairs):
+    """of_pairs over the pairs without a null; None for the others."""
 
     def rows(refs: list, reads: list) -> list:
         ok = [k for k, (a, b) in enumerate(zip(refs, reads)) if a is not None and b is not None]
         out: list = [None] * len(refs)
-        for k, r in zip(ok, align_pairs([refs[k] for k in ok], [reads[k] for k in ok], scoring)):
-            out[k] = (*r, cigar_of(r[0], r[1]))
+        for k, r in zip(ok, of_pairs([refs[k] for k in ok], [reads[k] for k in ok])):
+            out[k] = r
         return out
 
-    return _mapped(df, [reference, read], _ALIGNED, rows)
+    return rows
+
+
+def align(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq") -> DataFrame:
+    """df with ref_aln, read_aln, score and cigar of its pairs (ALN2, ALN3); null where either is null. Narrow."""
+
+    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: [(*r, cigar_of(r[0], r[1])) for r in align_pairs(a, b, scoring)]))
 
 
 def with_inversions(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", least: int = 20) -> DataFrame:
     """As align(), with inversions."""
-    return _mapped(df, [reference, read], _ALIGNED, lambda refs, reads: [None if a is None or b is None else align_with_inversion(a, b, scoring, least) for a, b in zip(refs, reads)])
+    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: pairs_with_inversion(a, b, scoring, least)))
+
+
+def local(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", place: int = 0) -> DataFrame:
+    """df with ref_part and read_part of the best local alignment, or of the place-th next one; empty where there is none."""
+    fields = [StructField("ref_part", StringType()), StructField("read_part", StringType())]
+    return _mapped(df, [reference, read], fields, _sound(lambda a, b: [(f + [("", "")] * (place + 1))[place][:2] for f in local_pairs(a, b, scoring, place + 1)]))
 
 
 def oriented(df: DataFrame, reference: str = "reference", read: str = "seq") -> DataFrame:

@@ -65,14 +65,12 @@ def aln16_scorings(spark, sf_dir):
 
 @query()
 def aln4_local(spark, sf_dir):
-    fields = [StructField("ref_part", StringType()), StructField("read_part", StringType())]
-    return A._mapped(_pairs(spark, sf_dir), ["reference", "seq"], fields, lambda a, b: [(A.local_alignments(x, y, A.ALIGN) or [("", "")])[0][:2] for x, y in zip(a, b)]).select("read_id", "ref_part", "read_part")
+    return A.local(_pairs(spark, sf_dir)).select("read_id", "ref_part", "read_part")
 
 
 @query()
 def aln8_next_best(spark, sf_dir):
-    fields = [StructField("ref_part", StringType()), StructField("read_part", StringType())]
-    return A._mapped(_pairs(spark, sf_dir), ["reference", "seq"], fields, lambda a, b: [(A.local_alignments(x, y, A.ALIGN, 2) + [("", "")] * 2)[1][:2] for x, y in zip(a, b)]).select("read_id", "ref_part", "read_part")
+    return A.local(_pairs(spark, sf_dir), place=1).select("read_id", "ref_part", "read_part")
 
 
 @query()
