@@ -1,12 +1,11 @@
-"""Near-duplicate classes: ProbMinHash signatures of weighted five-word shingles, banding, exact verification, connected components.
+"""Near-duplicate classes: ProbMinHash signatures of sets of five-word shingles, banding, exact verification, connected components.
 
-1. Sketch (one narrow pass over the texts). A shingle's weight is 1 + ln(count). For each shingle a Poisson process of that rate, seeded by the shingle, hits random
-   signature components; a component keeps the shingle that hit it first. Generation stops early for a document's shingles whose next hit comes after
-   the latest first hit. Two components agree with a probability that is the documents' probability Jaccard similarity. Texts with equal words
+1. Sketch (one narrow pass over the texts). All shingles of a text weigh the same, however often they occur. For each shingle a Poisson process, seeded by the shingle,
+   hits random signature components; a component keeps the shingle that hit it first. Generation stops early for a document's shingles whose next hit comes after
+   the latest first hit. Two components agree with a probability that is the Jaccard similarity of the sets, the one that is verified. Texts with equal words
    share a node (the digest of their words); from here on copies are one row.
 2. Candidates. BANDS bands of ROWS_PER_BAND components each. Every member of a bucket is paired with the bucket's least node: n - 1 pairs, never all.
-3. Verification. Pairs whose signatures agree in fewer than PRUNE of the components can't be at the threshold (more than five standard errors away); for the others the
-   Jaccard similarity of the shingle sets is computed exactly from the texts.
+3. Verification. For every pair the Jaccard similarity of the shingle sets is computed exactly from the texts; no estimate drops one.
 4. The rest, exactly. Where a bucket's members are in several components after step 3, its largest component is dealt into blocks of about BLOCK bytes of shingles by hash,
    so is the rest, and each pair of blocks with the rest in it goes to one group, which computes all similarities between components and emits a forest of links,
    fewer than the group has members. So no bucket has a cap, none lands in one task, and no pairs are listed.
@@ -36,8 +35,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS_PER_BAND = 32, 4
 SIZE = BANDS * ROWS_PER_BAND
-#: Share of agreeing components below which a pair is not verified.
-PRUNE = 0.6
 #: Bytes of shingle hashes in a block, and its nodes, about; a group has two blocks.
 BLOCK, BLOCK_ROWS = 1 << 21, 512
 #: Shingles that are compared at a time.
@@ -105,7 +102,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, x (a hash of the text), node (digest of the words), bands (BANDS hashes; null for texts without words) and low, a byte of each signature component."""
+    """key, x (a hash of the text), node (digest of the words) and bands (BANDS hashes; null for texts without words)."""
     shingler = Shingler()
 
     def rows(keys: list, texts: list, x: list) -> Iterator[tuple]:
@@ -113,34 +110,17 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for t in texts:
             words = shingler.words(t or "")
             nodes.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
-            values, counts = np.unique(shingler.shingles(words), return_counts=True)
-            sets.append((values, 1 + np.log(counts)))
-        sig = signatures(sets)
-        mixed = _mixed(sig)
+            values = np.unique(shingler.shingles(words))
+            sets.append((values, np.ones(len(values))))
+        mixed = _mixed(signatures(sets))
         band = np.zeros((len(sets), BANDS), _U) + np.arange(BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15)
         for i in range(ROWS_PER_BAND):
             band = _mixed(band + mixed[:, i::ROWS_PER_BAND])
-        low = (mixed >> _U(24)).astype(np.uint8)
-        for k, h, node, s, b, x in zip(keys, x, nodes, sets, band.astype(np.int64), low):
-            yield k, h, node, b.tolist() if len(s[0]) else None, x.tobytes()
+        for k, h, node, s, b in zip(keys, x, nodes, sets, band.astype(np.int64)):
+            yield k, h, node, b.tolist() if len(s[0]) else None
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text, F.xxhash64(text)), rows, f"`{key}` {kind}, x long, node binary, bands array<long>, low binary")
-
-
-def _pruned(pairs: DataFrame, lows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in PRUNE of the components or more."""
-    left = lows.select(F.col("node").alias("a"), F.col("low").alias("la"))
-    right = lows.select(F.col("node").alias("b"), F.col("low").alias("lb"))
-
-    @F.pandas_udf("boolean")
-    def close(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=bool)
-        a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SIZE) for s in (x, y))
-        return pd.Series((a == b).mean(axis=1) >= PRUNE)
-
-    return pairs.join(left, "a").join(right, "b").where(close("la", "lb")).select("a", "b")
+    return map_rows(docs.select(key, text, F.xxhash64(text)), rows, f"`{key}` {kind}, x long, node binary, bands array<long>")
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -274,15 +254,15 @@ def node_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     """(rows of key, doc, x and node; nodes that are linked to another one, with the label of their class)."""
     own = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("doc")
     sketched = cut(sketch(docs, key, text).select("*", own), "near-sketch")
-    per_node = sketched.where("bands IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc", "x")).alias("d"), F.min(F.struct("bands", "low")).alias("s"))
-    per_node = cut(per_node.select("node", "d.doc", "d.x", "s.bands", "s.low"), "near-nodes")
-    lows, nodes = per_node.select("node", "low"), per_node.select("node", "doc", "x")
+    per_node = sketched.where("bands IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc", "x")).alias("d"), F.min("bands").alias("bands"))
+    per_node = cut(per_node.select("node", "d.doc", "d.x", "bands"), "near-nodes")
+    nodes = per_node.select("node", "doc", "x")
     buckets = per_node.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("bucket", "pivot")
     buckets = cut(buckets.join(shared, "bucket"), "near-buckets")
     pairs = buckets.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     texts = docs.select(own, F.xxhash64(text).alias("x"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edges = cut(_verified(cut(_pruned(pairs, lows), "near-pairs"), texts, nodes), "near-edges")
+    edges = cut(_verified(cut(pairs, "near-pairs"), texts, nodes), "near-edges")
     labels = components(edges)
     more = cut(_residual(buckets.select("bucket", "node"), labels, texts, nodes), "near-edges")
     if not more.isEmpty():

@@ -70,6 +70,19 @@ def test_classes_against_all_pairs(spark, monkeypatch):
     assert minhash.classes(docs.limit(0)).count() == 0 and minhash.dedup(docs.limit(0)).count() == 0
 
 
+def test_isolated_pairs_whose_differing_shingles_repeat(spark):
+    rng = random.Random(7)
+    rows = []
+    for n in range(0, 40, 2):
+        base = [f"b{n}x{i}" for i in range(204)]
+        footer = " ".join(f"f{n}x{i}" for i in range(26))
+        rows += [(n, " ".join(base)), (n + 1, " ".join(base + [footer] * rng.choice([60, 100])))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({c for _, c in want}) == 20
+    assert sorted(map(tuple, minhash.classes(docs).collect()), key=str) == want
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     element = rng.integers(1, 2**63, 60, dtype=np.uint64)
