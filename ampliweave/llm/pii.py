@@ -5,7 +5,8 @@ and validate the e-mail address, URL or account number around it. Numbers (IPv4
 own anchors. Every parser is linear in the text, so very long texts cost no more for each character.
 
 Kinds, in the order of all lists: email, ip, card, phone (the base kinds), then what the method adds: ssn (nnn-nn-nnnn with valid parts),
-iban (check digits verified), url (http, https or ftp, and www.) and account (a digit string of 6 or more behind a cue such as "account no").
+iban (from the country code to that country's length, check digits verified; for codes outside IBAN_LENGTH the longest valid 15 to 34
+characters that end with a group), url (http, https or ftp, and www.) and account (a digit string of 6 or more behind a cue such as "account no").
 Spans count code points, end exclusive; spans of one kind don't overlap.
 
 Nulls: a null text is empty and has no spans; a null key stays null. Repeated rows give repeated results. Empty tables give empty results.
@@ -34,7 +35,20 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"[0-9][\x20().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _URL = re.compile(r"[^\x00-\x20\x7f<>\"'`{}|\\^]+")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
+_GROUP_END = re.compile(r"[A-Z0-9](?![A-Z0-9])")
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_OF_LENGTH = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}") for n in set(IBAN_LENGTH.values())}
 _AFTER_CUE = re.compile(r"[\x20.:#=]*(?:(?:no|nr|number|num)\b[\x20.:#=]*)?([0-9](?:[\x20-]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
 _CUES = ("account", "acct", "konto", "cuenta", "compte")
 _SCHEMES = ("http://", "https://", "ftp://", "www.")
@@ -51,6 +65,18 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the IBAN ends whose country code and check digits are at start."""
+    if n := IBAN_LENGTH.get(text[start : start + 2]):
+        m = _OF_LENGTH[n].match(text, start + 4)
+        return m.end() if m and iban_valid(text[start : m.end()]) else None
+    if m := _IBAN_REST.match(text, start + 4):
+        for end in reversed([g.end() for g in _GROUP_END.finditer(text, start + 4, m.end())]):
+            if iban_valid(text[start:end]):
+                return end
+    return None
+
+
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for word, what in [("@", "email"), ("+", "phone"), *((s, "url") for s in _SCHEMES), *((c, "account") for c in _CUES)]:
@@ -114,12 +140,11 @@ def find(text: str) -> list[Span]:
                 out.append((2, m.start(), m.end()))
     out += phones
     out += ((4, m.start(), m.end()) for m in _SSN.finditer(text))
+    last_iban = 0
     for m in _IBAN.finditer(text):
-        end = m.end()
-        if iban_valid(m[0]):
+        if m.start() >= last_iban and (end := iban_end(text, m.start())):
+            last_iban = end
             out.append((5, m.start(), end))
-        elif (m2 := re.match(r"[A-Z0-9]+", m[0])) and iban_valid(m2[0]):
-            out.append((5, m.start(), m.start() + m2.end()))
     out += urls
     out += accounts
     return out

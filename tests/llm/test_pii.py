@@ -45,6 +45,18 @@ def test_added_kinds_and_redaction():
     assert pii.redact(text, spans) == "Mail [EMAIL], see [URL]. SSN [SSN], IBAN [IBAN] account no: [ACCOUNT]!"
 
 
+def test_ibans_whatever_follows():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    longest = "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    unknown = "ZZ" + next(f"{c:02d}" for c in range(98) if pii.iban_valid(f"ZZ{c:02d}12345678901234")) + " 1234 5678 9012 34"
+    for text, found in [
+        (f"Pay to {de} BIC COBADEFF", [de]), (f"{de} Thanks", [de]), (f"{gb} Amount due", [gb]), (f"{de} 5 days", [de]), (f"{de} {gb}", [de, gb]),
+        (f"REF AB12 {de}", [de]), (de.replace(" ", "") + " BIC", [de.replace(" ", "")]), (f"{longest} EUR 1", [longest]), (f"{unknown} AND MORE", [unknown]),
+        (de[:-1] + "1 BIC", []), (de[:-3] + " BIC", []), ("NO93 8601 1117 947 X", ["NO93 8601 1117 947"]),
+    ]:
+        assert [text[a:b] for k, a, b in pii.find(text) if pii.KINDS[k] == "iban"] == found, text
+
+
 def test_long_runs_are_linear():
     assert pii.find("a" * 2_000_000 + "7" * 2_000_000 + "." * 1000 + "+1" + " " * 1_000_000) == []
 
