@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections import deque
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut
 from .radius import close_pairs
 
+#: Strings in a block whose distances to another block are computed together, and positions at a time.
+BLOCK, POSITIONS = 2048, 64
+
 
 def similarity_graph(strings: DataFrame, column: str, d: int) -> DataFrame:
     """Edges (a, b, distance), a < b, of the distinct strings at Hamming distance d or less (CLU2)."""
@@ -121,7 +125,54 @@ def balanced_parts(edges: DataFrame, d: int, a: str = "a", b: str = "b") -> Data
     return _grouped(edges, a, b).groupBy("component").applyInPandas(run, f"component {kind}, part {kind}, v {kind}")
 
 
-def mean_distance(strings: list[str], distance) -> tuple[float, int]:
-    """(mean over all ordered pairs, a string with itself too; greatest) of a small set (AGG11)."""
-    pairs = [distance(x, y) for x, y in combinations(strings, 2)]
-    return (2 * sum(pairs) / len(strings) ** 2 if strings else 0.0), max(pairs, default=0)
+def _codes(strings: list[str]) -> np.ndarray:
+    """A row of characters (from 1) a string, zeros behind its end."""
+    length = np.array([len(s) for s in strings])
+    out = np.zeros((len(strings), max(length)), np.uint32)
+    out[np.arange(out.shape[1]) < length[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+    return out
+
+
+def greatest_hamming(left: list[str], right: list[str]) -> int:
+    """The greatest Hamming distance of a string on the left and one on the right; of strings of two lengths the common start counts."""
+    if not left or not right:
+        return 0
+    a, b = _codes(left), _codes(right)
+    width = min(a.shape[1], b.shape[1])
+    apart = np.minimum((a[:, :width] > 0).sum(axis=1)[:, None], (b[:, :width] > 0).sum(axis=1)[None, :])
+    for at in range(0, width, POSITIONS):
+        x, y = a[:, at : min(at + POSITIONS, width)], b[:, at : min(at + POSITIONS, width)]
+        for c in np.intersect1d(x, y):
+            if c:
+                apart = apart - ((x == c).astype(np.float32) @ (y == c).astype(np.float32).T).astype(np.int64)
+    return int(apart.max())
+
+
+def mean_distance(strings: DataFrame, column: str) -> DataFrame:
+    """One row (mean, greatest) of the Hamming distances of a set of strings (AGG11): the mean over all ordered pairs of distinct strings, a string with itself too.
+
+    The mean is exact from the counts of each character at each position. The greatest distance compares all pairs, a pair of blocks a task, whose number
+    grows with the square of the strings. Of strings of two lengths the common start counts. Nulls are left out; an empty set has 0 and 0.
+    """
+    own = cut(strings.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct(), "distance-strings")
+    size = own.count()
+    whole = "decimal(38,0)"
+    places = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.struct(i.alias("i"), F.substr("s", i, F.lit(1)).alias("c")))
+    counts = own.where("length(s) > 0").select(F.inline(places)).groupBy("i", "c").agg(F.count("*").cast(whole).alias("n"))
+    unlike = counts.groupBy("i").agg((F.sum("n") * F.sum("n")).cast(whole).alias("all"), F.sum((F.col("n") * F.col("n")).cast(whole)).cast(whole).alias("like"))
+    mean = unlike.agg((F.coalesce(F.sum(F.col("all") - F.col("like")).cast("double"), F.lit(0.0)) / F.lit(float(max(size, 1)) ** 2)).alias("mean"))
+
+    blocks = -(-max(size, 1) // BLOCK)
+    dealt = own.withColumn("own", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int"))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = dealt.withColumn("g", F.explode(groups)).select("s", "own", F.col("g.i").alias("i"), F.col("g.j").alias("j"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        members: dict[int, list[str]] = {i: [], j: []}
+        for s, k in zip(group["s"].to_pylist(), group["own"].to_pylist()):
+            members[k].append(s)
+        return pa.table({"d": pa.array([greatest_hamming(members[i], members[j])], pa.int32())})
+
+    greatest = dealt.groupBy("i", "j").applyInArrow(compare, "d int").agg(F.coalesce(F.max("d"), F.lit(0)).alias("greatest"))
+    return mean.crossJoin(greatest)

@@ -361,9 +361,8 @@ def clu6_single_linkage(spark, sf_dir):
     p AS (SELECT x.v AS a, y.v AS b FROM (SELECT DISTINCT v FROM (SELECT substr(seq, 9, 2) AS v FROM reads)) x, (SELECT DISTINCT v FROM (SELECT substr(seq, 9, 2) AS v FROM reads)) y)
     SELECT round(avg(hamming(a, b)), 6) AS mean, CAST(max(hamming(a, b)) AS INT) AS greatest FROM p""")
 def agg11_mean_distance(spark, sf_dir):
-    strings = [r[0] for r in reads(spark, sf_dir).select(F.substr("seq", F.lit(9), F.lit(2)).alias("v")).distinct().limit(1000).collect()]  # 25 at most
-    mean, top = graph.mean_distance(strings, lambda a, b: sum(x != y for x, y in zip(a, b)))
-    return spark.createDataFrame([(round(mean, 6), top)], "mean double, greatest int")
+    strings = reads(spark, sf_dir).select(F.substr("seq", F.lit(9), F.lit(2)).alias("v"))
+    return graph.mean_distance(strings, "v").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT cell_tag || '.' || umi AS cell, array_to_string(list_sort(list(read_id)), ',') AS reads, count(*) AS n FROM reads GROUP BY ALL")
