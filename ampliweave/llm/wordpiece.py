@@ -31,7 +31,7 @@ _NONE = -1
 
 
 class LongestMatch:
-    """Counts of greedy pieces over (first pieces, continuation pieces), both as bytes."""
+    """Counts of greedy pieces over (first pieces, continuation pieces), both as bytes. An empty first piece begins the words that no other one begins."""
 
     def __init__(self, first: Iterable[bytes], rest: Iterable[bytes]):
         self.step: dict[int, int] = {}  # node << 8 | byte -> node
@@ -47,7 +47,7 @@ class LongestMatch:
                         nxt = self.step[node << 8 | b] = len(piece)
                         piece.append(False)
                     node = nxt
-                if p:
+                if p or root == 0:
                     piece[node] = True
         self._link(piece)
 
@@ -57,6 +57,8 @@ class LongestMatch:
             below.setdefault(k >> 8, []).append((k & 255, node))
         self.link = [_NONE] * len(piece)
         self.pops = [0] * len(piece)
+        if piece[0]:  # the empty first piece
+            self.link[0], self.pops[0] = 1, 1
         todo = deque([0, 1])
         while todo:
             above = todo.popleft()
@@ -93,17 +95,17 @@ class LongestMatch:
 
 def read_vocabulary(path: str, continuation: str | None = None) -> tuple[list[bytes], list[bytes]]:
     """(first, continuation pieces) of a file: with ``continuation`` (such as ##) a text file of one piece a line; else the JSON of a
-    byte-level vocabulary, in which pieces that follow a space begin words."""
+    byte-level vocabulary, in which pieces that follow a space begin words; the lone space is the empty first piece."""
     if continuation is not None:
         with open(path, encoding="utf-8") as file:
             pieces = [line.rstrip("\n") for line in file]
-        return [p.encode() for p in pieces if not p.startswith(continuation)], [p[len(continuation) :].encode() for p in pieces if p.startswith(continuation)]
+        return [p.encode() for p in pieces if p and not p.startswith(continuation)], [p[len(continuation) :].encode() for p in pieces if p.startswith(continuation)]
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = {t["content"] for t in spec["added_tokens"]}
     value = {c: b for b, c in enumerate(byte_characters())}
     pieces = [bytes(value[c] for c in p) for p in spec["model"]["vocab"] if p not in special]
-    return [p[1:] for p in pieces if p[:1] == b" " and len(p) > 1], [p for p in pieces if p[:1] != b" "]
+    return [p[1:] for p in pieces if p[:1] == b" "], [p for p in pieces if p[:1] != b" "]
 
 
 @lru_cache(maxsize=2)

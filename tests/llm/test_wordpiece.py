@@ -28,6 +28,21 @@ def test_against_greedy(first, rest, words):
     assert [own.count(w) for w in words] == [greedy(w, first, rest) for w in words]
 
 
+def test_lone_space_begins_what_no_other_piece_begins(spark):
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    first, rest = map(set, wordpiece.read_vocabulary(path))
+    words = ["рыба", "собака", "здравствуйте", "բարեւ", "สวัสดีครับ", "一二三四五六七", "不知道", "zebra", "\x01"]
+    want = []
+    for w in words:
+        b = w.encode()
+        covered = any(b[:i] in first for i in range(1, len(b) + 1))
+        want.append(greedy(b, first, rest) if covered else 1 + greedy(b, rest, rest))
+    assert all(want) and max(want) > 5
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate([*words, " ".join(words)])], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in wordpiece.count_tokens(docs, path).collect()}
+    assert got == {i: (1, n, 0) for i, n in enumerate(want)} | {len(words): (len(words), sum(want), 0)}
+
+
 def test_tables(spark, tmp_path):
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     first, rest = map(set, wordpiece.read_vocabulary(path))
