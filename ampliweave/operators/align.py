@@ -48,6 +48,8 @@ MERGE = Scoring(10.0, -5.0, 8.0, -15.0, -1.0, 0.25)
 SIMPLE = Scoring(1.0, -1.0, 1.0, -5.0, -1.0, 1.0, -1.0)
 PRESETS = {"align": ALIGN, "nucleotide": NUCLEOTIDE, "merge": MERGE, "simple": SIMPLE}
 Aligned = tuple[str, str, float]
+#: Place in ref and in read before and behind a jump, its score, and its (ref_aln, read_aln).
+Jump = tuple[int, int, int, int, float, tuple[str, str]]
 
 
 def _best(up: np.ndarray, left: np.ndarray, diag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +58,8 @@ def _best(up: np.ndarray, left: np.ndarray, diag: np.ndarray) -> tuple[np.ndarra
     return np.where(ups, up, np.where(lefts, left, diag)), (ups + 2 * lefts).astype(np.int8)
 
 
-def _global(ref: np.ndarray, read: np.ndarray, s: Scoring) -> list[Aligned]:
-    """Alignments of n pairs of one shape; ref and read are matrices of bytes."""
+def _global(ref: np.ndarray, read: np.ndarray, s: Scoring, jumps: Sequence[Sequence[Jump]] = ()) -> list:
+    """Alignments of n pairs of one shape; ref and read are matrices of bytes. With jumps, lists of them for each pair: (parts from the left, score), as _back_over() has them."""
     n, rows, cols = len(ref), ref.shape[1], read.shape[1]
     if not rows or not cols:
         return [_edge(bytes(a), bytes(b), s) for a, b in zip(ref, read)]
@@ -66,6 +68,20 @@ def _global(ref: np.ndarray, read: np.ndarray, s: Scoring) -> list[Aligned]:
     edge = (s.gap_open + place * s.gap_extend) * s.final
     m, d, i = np.full((n, cols + 1), NEVER), np.tile(edge, (n, 1)), np.tile(edge, (n, 1))
     m[:, 0], d[:, 0], i[:, 0] = 0.0, NEVER, NEVER
+    begin: dict[int, list] = {}  # row -> jumps from it, and to it
+    end: dict[int, list] = {}
+    for k, own in enumerate(jumps):
+        for jump in own:
+            begin.setdefault(jump[0], []).append((k, jump))
+            end.setdefault(jump[2], []).append((k, jump))
+    corner: dict[tuple[int, int, int], tuple[float, int]] = {}
+    taken: list[dict] = [{} for _ in range(n)]
+
+    def leave(x: int) -> None:
+        for k, jump in begin.get(x, ()):
+            corner[k, x, jump[1]] = max((float(t[k, jump[1]]), z) for z, t in enumerate((m, d, i)))
+
+    leave(0)
     for x in range(1, rows + 1):
         ext = np.full(cols + 1, s.gap_extend * (s.final if x == rows else 1.0))
         ext[cols] = s.gap_extend * s.final
@@ -74,6 +90,11 @@ def _global(ref: np.ndarray, read: np.ndarray, s: Scoring) -> list[Aligned]:
         m2, d2, i2 = np.empty_like(m), np.empty_like(m), np.empty_like(m)
         m2[:, 0], d2[:, 0], i2[:, 0] = NEVER, (s.gap_open + x * s.gap_extend) * s.final, (s.gap_open + x * s.gap_extend) * s.final
         m2[:, 1:], ways[0, x, :, 1:] = _best(d[:, :-1] + score, i[:, :-1] + score, m[:, :-1] + score)
+        for k, jump in end.get(x, ()):
+            value, z = corner[k, jump[0], jump[1]]
+            if value + jump[4] > m2[k, jump[3]]:
+                m2[k, jump[3]] = value + jump[4]
+                taken[k][x, jump[3]] = (jump, z)
         d2[:, 1:], ways[1, x, :, 1:] = _best(d[:, 1:] + ext[1:], i[:, 1:] + start[1:], m[:, 1:] + start[1:])
         base, e = np.maximum(m2, d2)[:, :-1], ext[0]
         run = np.maximum.accumulate(np.concatenate([i2[:, :1], base[:, :-1] + s.gap_open - e * place[: cols - 1]], axis=1), axis=1)
@@ -81,11 +102,15 @@ def _global(ref: np.ndarray, read: np.ndarray, s: Scoring) -> list[Aligned]:
         i2[:, cols] = np.maximum(base[:, -1] + start[cols], i2[:, cols - 1] + ext[cols])
         ways[2, x, :, 1:] = _best(d2[:, :-1] + start[1:], i2[:, :-1] + ext[1:], m2[:, :-1] + start[1:])[1]
         m, d, i = m2, d2, i2
+        leave(x)
     out = []
     for k in range(n):
         ends = (m[k, cols], d[k, cols], i[k, cols])
         z = max(range(3), key=lambda c: (ends[c], c))
-        out.append((*_back(ways[:, :, k, :], bytes(ref[k]), bytes(read[k]), z), float(ends[z])))
+        if jumps:
+            out.append((_back_over(ways[:, :, k, :], bytes(ref[k]), bytes(read[k]), z, taken[k]), float(ends[z])))
+        else:
+            out.append((*_back(ways[:, :, k, :], bytes(ref[k]), bytes(read[k]), z), float(ends[z])))
     return out
 
 
@@ -114,6 +139,22 @@ def _back(ways: np.ndarray, ref: bytes, read: bytes, z: int) -> tuple[str, str]:
     return a[::-1].decode("latin-1"), b[::-1].decode("latin-1")
 
 
+def _back_over(ways: np.ndarray, ref: bytes, read: bytes, z: int, taken: dict) -> list[tuple[str, str]]:
+    """(ref_aln, read_aln) of the stretches from the left: every second one is a jump's, the others lie around the jumps."""
+    x, y, end_x, end_y, last, out = len(ref), len(read), len(ref), len(read), z, []
+    while x and y:
+        if z == 0 and (x, y) in taken:
+            jump, to = taken[x, y]
+            out += (_back(ways[:, x:, y:], ref[x:end_x], read[y:end_y], last), jump[5])
+            x, y = end_x, end_y = jump[:2]
+            z = last = to
+            continue
+        to = int(ways[z, x, y])
+        x, y, z = x - (z != 2), y - (z != 1), to
+    out.append(_back(ways, ref[:end_x], read[:end_y], last))
+    return out[::-1]
+
+
 def align_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN) -> list[Aligned]:
     """Global alignments (ref_aln, read_aln, score) of pairs (ALN1, ALN2, ALN5, ALN6)."""
     a, b = [r.encode("latin-1") for r in refs], [r.encode("latin-1") for r in reads]
@@ -152,8 +193,9 @@ def _local(ref: np.ndarray, read: np.ndarray, s: Scoring, held: np.ndarray) -> t
 Local = tuple[str, str, float, int, int]
 
 
-def local_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring, n: int = 1) -> list[list[Local]]:
+def local_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring, n: int = 1, least: int | None = None) -> list[list[Local]]:
     """For each pair its n best local alignments that share no cell: (ref_aln, read_aln, score, place in ref, place in read) (ALN4, ALN7, ALN8).
+    With ``least`` those behind them too, until one has fewer columns.
 
     After each one its cells are set to zero and the matrix is computed again. Of equal maxima the one nearest to the start is first, then the least place in ref.
     """
@@ -168,9 +210,12 @@ def local_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring, n:
             part = own[at : at + size]
             a, b = (np.frombuffer("".join(t[k] for k in part).encode("latin-1"), np.uint8).reshape(len(part), -1) for t in (refs, reads))
             held = np.zeros((rows + 1, len(part), cols + 1), bool)
-            for _ in range(n):
+            turn = 0
+            while part and (turn < n or least is not None):
+                turn += 1
                 sc, ways = _local(a, b, scoring, held)
                 top = sc.max(axis=0)
+                more = []
                 for j, k in enumerate(part):
                     one = top[:, j, :]
                     if not (score := float(one.max())):
@@ -185,6 +230,10 @@ def local_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring, n:
                         rb.append("-" if z == 1 else reads[k][y - 1])
                         x, y, z = x - (z != 2), y - (z != 1), to
                     out[k].append(("".join(ra[::-1]), "".join(rb[::-1]), score, x, y))
+                    if turn < n or least is not None and len(ra) >= max(least, 1):
+                        more.append(j)
+                if len(more) < len(part):
+                    part, a, b, held = [part[j] for j in more], a[more], b[more], held[:, more]
     return out
 
 
@@ -212,22 +261,30 @@ def cigar_of(ref_aln: str, read_aln: str) -> str:
 
 
 def pairs_with_inversion(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4) -> list[tuple[str, str, float, str]]:
-    """(ref_aln, read_aln, score, cigar) of pairs where one stretch of the read may be inverted (ALN9): it stands reverse-complemented, between < and > in the CIGAR.
+    """(ref_aln, read_aln, score, cigar) of pairs where stretches of the read may be inverted (ALN9): each stands reverse-complemented, between < and > in the CIGAR.
 
-    The stretch is one of the best ``hits`` local alignments with the read's reverse complement, of at least so many reference bases; the plain alignment wins ties.
+    The stretches are local alignments with the read's reverse complement, of at least so many reference bases: the best ``hits`` and all behind them until one is
+    shorter. One global alignment may jump over any number of them; the plain alignment wins ties.
     """
     best = [(a, b, score, cigar_of(a, b)) for a, b, score in align_pairs(refs, reads, scoring)]
-    tries = []  # pair, inverted part, and the flanks on either side
-    for k, found in enumerate(local_pairs(refs, [reverse_complement(r) for r in reads], scoring, hits)):
+    shapes: dict[tuple[int, int], list[tuple[int, list[Jump]]]] = {}
+    for k, found in enumerate(local_pairs(refs, [reverse_complement(r) for r in reads], scoring, hits, least)):
+        jumps = []
         for x, y, inner, at, start in found:
             n, m = len(x.replace("-", "")), len(y.replace("-", ""))
-            if n >= least:
-                c, d = len(reads[k]) - start - m, len(reads[k]) - start
-                tries.append((k, x, y, inner, (refs[k][:at], reads[k][:c]), (refs[k][at + n :], reads[k][d:])))
-    left, right = (align_pairs([t[i][0] for t in tries], [t[i][1] for t in tries], scoring) for i in (4, 5))
-    for (k, x, y, inner, _, _), (a1, b1, s1), (a2, b2, s2) in zip(tries, left, right):
-        if s1 + inner + s2 + penalty > best[k][2]:
-            best[k] = (a1 + x + a2, b1 + y + b2, s1 + inner + s2 + penalty, f"{cigar_of(a1, b1)}<{cigar_of(x, y)}>{cigar_of(a2, b2)}")
+            if n >= max(least, 1):
+                jumps.append((at, len(reads[k]) - start - m, at + n, len(reads[k]) - start, inner + penalty, (x, y)))
+        if jumps:
+            shapes.setdefault((len(refs[k]), len(reads[k])), []).append((k, jumps))
+    for (rows, cols), own in shapes.items():
+        size = max(1, HELD // (3 * (rows + 1) * (cols + 1)))
+        for i in range(0, len(own), size):
+            part = own[i : i + size]
+            a, b = (np.frombuffer("".join(t[k] for k, _ in part).encode("latin-1"), np.uint8).reshape(len(part), -1) for t in (refs, reads))
+            for (k, _), (parts, score) in zip(part, _global(a, b, scoring, [jumps for _, jumps in part])):
+                if score > best[k][2]:
+                    cigar = "".join(f"<{cigar_of(*p)}>" if j % 2 else cigar_of(*p) for j, p in enumerate(parts))
+                    best[k] = ("".join(p[0] for p in parts), "".join(p[1] for p in parts), score, cigar)
     return best
 
 

@@ -69,6 +69,32 @@ def test_vectors():
     assert A.align_with_inversion(ref, "CCGTAGATTTACTGCTTGCA", A.Scoring(10, -11, 7, -15, -5), 2, -2.0)[:2] == (ref, ref)
 
 
+def test_any_number_of_inversions():
+    rng = random.Random(8)
+    refs, reads = [], []
+    for n in (1, 2, 3, 6) * 3:
+        spans = ["".join(rng.choices("ACGT", k=14 + rng.randint(0, 6))) for _ in range(n)]
+        gaps = ["".join(rng.choices("ACGT", k=9 + rng.randint(0, 3))) for _ in range(n + 1)]
+        refs.append(gaps[0] + "".join(s + g for s, g in zip(spans, gaps[1:])))
+        reads.append(gaps[0] + "".join(A.reverse_complement(s) + g for s, g in zip(spans, gaps[1:])))
+    reads = [r if k % 2 else r[3:40] + "G" + r[42:] for k, r in enumerate(reads)]
+    for ref, read, (a, b, score, cigar) in zip(refs, reads, A.pairs_with_inversion(refs, reads, least=12)):
+        local = A.local_pairs([ref], [A.reverse_complement(read)], A.ALIGN, 4, 12)[0]
+        ends = [(0, 0, 0.0)]
+        found = []
+        for x, y, inner, at, start in local:
+            n, m = len(x.replace("-", "")), len(y.replace("-", ""))
+            if n >= 12:
+                found.append((at, len(read) - start - m, at + n, len(read) - start, inner - 10.0))
+        for p, q, u, v, inner in sorted(found):
+            ends.append((u, v, max(t + A.align_pairs([ref[i:p]], [read[j:q]])[0][2] for i, j, t in ends if i <= p and j <= q) + inner))
+        assert score == max(t + A.align_pairs([ref[i:]], [read[j:]])[0][2] for i, j, t in ends)
+        assert a.replace("-", "") == ref and len(a) == len(b)
+    for k in range(1, 12, 2):
+        a, b, _, cigar = A.align_with_inversion(refs[k], reads[k], A.Scoring(10, -20, 9, -60, -10), least=12)
+        assert a.replace("-", "") == refs[k] and cigar.count("<") == cigar.count(">") == (1, 2, 3, 6)[k % 4]
+
+
 def test_seeds_orientation_anchors_and_clips():
     rng = random.Random(2)
     ref = "".join(rng.choices("ACGT", k=80))
