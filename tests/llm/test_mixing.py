@@ -63,3 +63,14 @@ def test_mix_emits_whole_rows(spark):
     assert max(n[k] for k in n if k[0] not in (5,)) <= 3 and (7, "") not in n
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     assert all(r.taken == 0 for r in mixing.plan(spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")).collect())
+
+
+def test_mix_is_in_training_order(spark):
+    docs = spark.createDataFrame([(i if i % 5 else None, f"w{i} " * (1 + i % 40), f"s{i % 4}") for i in range(600)], "doc_id long, text string, source string")
+    first = {}
+    for place, r in enumerate(mixing.mix(docs).collect()):
+        first.setdefault(r.text, place)
+    planned = mixing.plan(docs, keep=("text",)).selectExpr("text", "get(filter(copies, c -> 2 * c.words >= size), 0).position AS p").where("p IS NOT NULL").collect()
+    order = sorted(planned, key=lambda r: r.p)
+    assert len(order) == len(first) > 300
+    assert [first[r.text] for r in order] == sorted(first.values())
