@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ROWS, map_rows
+from .common import map_rows, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "url", "account")
@@ -201,8 +201,7 @@ def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for part in slices(batch):
                 texts = [t and redact(t, find(t)) for t in part.column(at).to_pylist()]
                 columns = list(part.columns)
                 columns[at] = pa.array(texts, part.schema.field(at).type)

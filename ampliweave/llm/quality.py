@@ -1,7 +1,9 @@
 """Quality rules: a few countable faults, then a log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 Two multinomials over hashed uni- and bigrams of word and punctuation tokens are counted in one pass over all documents: of the raw corpus
-(every row) and of the trusted target (rows labelled of good quality, at most ``trusted_rows`` of them). A document's score is the mean
+(every row) and of the trusted target (rows labelled of good quality, at most ``trusted_rows`` of them). Unigrams and bigrams have hash buckets of their own; their number
+grows with the third root of the number of documents, as new n-grams turn up ever more slowly: 2^17 of each over 50,000 documents, 2^20 over 15
+million, 2^24 (a broadcast of 134 MB) over 5e10. A document's score is the mean
 log-ratio of its n-grams; it is kept where no base rule fails and its score is at least ``threshold``. The verdict is the same for equal texts.
 
 Nulls: a null text has no words and fails; a null doc_id is kept as it is and is never trusted. Without trusted rows every ratio is 0 and only
@@ -10,6 +12,7 @@ the base rules decide. Repeated rows get the same answer. A document is read who
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -19,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, map_rows, words_of
+from .common import cut, map_rows, slices, words_of
 
-#: Hash buckets of n-grams; the model that goes to every task is one double for each.
-BUCKETS = 1 << 16
+#: Hash buckets of unigrams, and of bigrams, over BASE_ROWS documents or fewer. The model that goes to every task is one 4-byte number for each.
+BUCKETS, BASE_ROWS = 1 << 16, 1 << 14
 #: Labelled rows of good quality that make the target, at most (the first by a hash of doc_id).
 TRUSTED_ROWS = 20_000
 #: Mean log-ratio from which a document is kept.
 THRESHOLD = -0.25
 #: Words that a worker remembers between documents.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _SYMBOLS = "#*$%&|<>"
 
@@ -71,15 +74,20 @@ class Words:
         self.first[n - len(words) : n] = self.used + np.cumsum(counts) - counts
         self.used = to
 
-    def grams(self, numbers: np.ndarray) -> np.ndarray:
-        """Buckets of the text's uni- and bigrams."""
+    def grams(self, numbers: np.ndarray, buckets: int) -> np.ndarray:
+        """Buckets of the text's unigrams, then of its bigrams, which follow those of the unigrams. buckets: a power of two."""
         count = self.count[numbers]
         place = np.arange(count.sum()) + np.repeat(self.first[numbers] - np.cumsum(count) + count, count)
         one = self.hashes[place]
         two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         two ^= two >> np.uint64(29)
         two *= np.uint64(0xBF58476D1CE4E5B9)
-        return np.concatenate([one % np.uint64(BUCKETS), two >> np.uint64(48)]).astype(np.int64)
+        return np.concatenate([one & np.uint64(buckets - 1), (two >> np.uint64(65 - buckets.bit_length())) + np.uint64(buckets)]).astype(np.int64)
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two that grows with the third root of the number of documents."""
+    return BUCKETS << max(0, math.ceil(math.log2(max(rows, 1) / BASE_ROWS) / 3))
 
 
 def repeated_words(a: np.ndarray) -> int:
@@ -117,36 +125,33 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> frozenset[int]:
 
 
 def log_ratios(docs: DataFrame, trusted: frozenset[int]) -> np.ndarray:
-    """log(target / raw) of each bucket, with one added to every target count and its share of the raw corpus."""
-    words = Words()
+    """log(target / raw) of each bucket, with its share of the raw corpus times the number of buckets added to the target's counts."""
+    buckets = buckets_for(docs.count())
+    n = 2 * buckets
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        words, raw, good = Words(), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                for doc, text in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns)):
-                    if text:
-                        got = np.bincount(words.grams(words.of(text)[1]), minlength=BUCKETS) if len(text) > 200_000 else None
-                        if got is None:
-                            got, n = np.unique(words.grams(words.of(text)[1]), return_counts=True)
-                            raw[got] += n
-                            if doc in trusted:
-                                good[got] += n
-                        else:
-                            raw += got
-                            if doc in trusted:
-                                good += got
+            for part in slices(batch):
+                grams = [(doc in trusted, words.grams(words.of(text)[1], buckets)) for doc, text in zip(*(c.to_pylist() for c in part.columns)) if text]
+                for out, own in ((raw, [g for _, g in grams]), (good, [g for t, g in grams if t])):
+                    if own:
+                        out += np.bincount(np.concatenate(own), minlength=n)
         has = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(has, pa.int64()), pa.array(raw[has], pa.int64()), pa.array(good[has], pa.int64())], names=["bucket", "raw", "good"])
+        for at in range(0, len(has), 1 << 16):
+            some = has[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some], pa.int64()), pa.array(good[some], pa.int64())], names=["bucket", "raw", "good"])
 
     counts = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.collect():  # BUCKETS rows at most
-        raw[r[0]], good[r[0]] = r[1], r[2]
-    if not good.sum():
-        return np.zeros(BUCKETS)
-    share = (raw + 1) / (raw.sum() + BUCKETS)
-    return np.log((good + BUCKETS * share) / (good.sum() + BUCKETS)) - np.log(share)
+    counts = cut(counts, "quality-counts")
+    all_raw, all_good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    if not all_good:
+        return np.zeros(n, np.float32)
+    ratio = lambda raw, good: F.log((good + n * (raw + 1) / (all_raw + n)) / (all_good + n)) - F.log((raw + 1) / (all_raw + n))
+    out = np.full(n, math.log(n / (all_good + n)), np.float32)  # of a bucket that no text has
+    for batch in counts.select(F.col("bucket").cast("int"), ratio(F.col("raw"), F.col("good")).cast("float").alias("ratio")).toArrow().to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return out
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
@@ -167,8 +172,7 @@ def keep(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, t
 
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for part in slices(batch):
                 texts = part.column(at).to_pylist()
                 yield part.filter(pa.array([r[-1] for r in own(texts, texts)], pa.bool_()))
 
@@ -180,12 +184,13 @@ def _rules(ratios, threshold: float):
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         model = ratios.value
+        buckets = len(model) // 2
         for k, text in zip(keys, texts):
             text = text or ""
             own, numbers = words.of(text)
             n, repeated = len(own), repeated_words(numbers)
             failed = n < 50 or 100 * repeated > 50 * n
-            score = float(model[words.grams(numbers)].mean()) if n else 0.0
+            score = float(model[words.grams(numbers, buckets)].mean(dtype=np.float64)) if n else 0.0
             yield k, n, len("".join(own)), sum(map(text.count, _SYMBOLS)), duplicate_lines(text), repeated, failed, score, not failed and score >= threshold
 
     return rows

@@ -34,11 +34,11 @@ def grams(text):
     import zlib
 
     tokens = [zlib.crc32(t.encode()) for w in re.findall(WORD, text or "") for t in re.findall(r"\w+|[^\w\s]+", w) or [w]]
-    out, full = [t % quality.BUCKETS for t in tokens], (1 << 64) - 1
+    out, full = [t % quality.BUCKETS for t in tokens], (1 << 64) - 1  # BUCKETS is 2^16, for so few documents
     for a, b in zip(tokens, tokens[1:]):
         x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & full
         x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & full
-        out.append(x >> 48)
+        out.append((x >> 48) + quality.BUCKETS)
     return out
 
 
@@ -59,13 +59,13 @@ def test_judge_against_a_plain_version(spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 100, 2)] + [(4, 0), (None, 1)], "doc_id long, quality int")
     trusted = {i for i in range(0, 100, 2) if i % 3 and i != 4}
     assert quality.trusted_ids(labels) == trusted and len(quality.trusted_ids(labels, 5)) == 5
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    raw, target = np.zeros(2 * quality.BUCKETS), np.zeros(2 * quality.BUCKETS)
     for k, t, _ in rows:
         for g in grams(t):
             raw[g] += 1
             target[g] += k in trusted
-    share = (raw + 1) / (raw.sum() + quality.BUCKETS)
-    ratio = np.log((target + quality.BUCKETS * share) / (target.sum() + quality.BUCKETS)) - np.log(share)
+    share = (raw + 1) / (raw.sum() + 2 * quality.BUCKETS)
+    ratio = np.log((target + 2 * quality.BUCKETS * share) / (target.sum() + 2 * quality.BUCKETS)) - np.log(share)
     score = [float(np.mean(ratio[grams(t)])) if grams(t) else 0.0 for _, t, _ in rows]
     threshold = (max(score[0:120:3]) + min(score[1:120:3] + score[2:120:3])) / 2  # such a small corpus moves little from the prior
     assert all(abs(s - threshold) > 1e-6 for s in score)
@@ -83,7 +83,14 @@ def test_judge_against_a_plain_version(spark):
 def test_forgetting_changes_nothing(monkeypatch):
     texts = [t for _, t, _ in corpus() if t]
     whole = quality.Words()
-    want = [whole.grams(whole.of(t)[1]).tolist() for t in texts]
+    want = [whole.grams(whole.of(t)[1], quality.BUCKETS).tolist() for t in texts]
     monkeypatch.setattr(quality, "REMEMBERED", 500)
     short = quality.Words()
-    assert [short.grams(short.of(t)[1]).tolist() for t in texts] == want and want[0] == grams(texts[0]) and not math.isnan(sum(want[0]))
+    assert [short.grams(short.of(t)[1], quality.BUCKETS).tolist() for t in texts] == want and want[0] == grams(texts[0]) and not math.isnan(sum(want[0]))
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [quality.buckets_for(n).bit_length() - 1 for n in (0, 1 << 14, 51_282, 256_410, 15_000_000, 5 * 10**10)] == [16, 16, 17, 18, 20, 24]
+    words = quality.Words()
+    _, numbers = words.of("one two, three")
+    assert words.grams(numbers, 1 << 20).max() < 1 << 21 and (words.grams(numbers, 1 << 20) >= 1 << 20).sum() == 3
