@@ -15,7 +15,7 @@ Result: one row a document with its class_id, the least doc_id of its class.
 
 Nulls: a null text counts as empty; texts without a word are copies of each other; texts of fewer than five words have one shingle, all their
 words. Null doc_ids stay null, and a class of nothing else has a null class_id. Repeated rows are rows of one class. Empty tables give empty results.
-Columns besides doc_id and text aren't read by classes(); dedup() passes them on.
+Columns besides doc_id and text aren't read by classes(); dedup() passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ BLOCK, BLOCK_ROWS = 1 << 21, 512
 #: Shingles that are compared at a time.
 COLUMNS = 4096
 _U = np.uint64
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 _MULTIPLIERS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
 
 
@@ -289,7 +289,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """docs without all but one row of each class (the least doc_id; of rows that repeat it, one), with all columns."""
     rows, labels = node_classes(docs, key, text)
     kept = _labelled(rows, labels, key).groupBy("label").agg(F.min("first").alias("first"))
-    kept = cut(kept.select(F.col("first.doc").alias("__doc"), F.col("first.x").alias("__x")), "near-kept")
-    own = docs.withColumn("__d", F.coalesce(F.col(key).cast("string"), F.lit(""))).withColumn("__h", F.xxhash64(text))
-    out = own.join(kept, (F.col("__d") == F.col("__doc")) & (F.col("__h") == F.col("__x")))
-    return out.dropDuplicates(["__d", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut(kept.select(F.col("first.doc").alias("doc"), F.col("first.x").alias("x")), "near-kept")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the names used here
+    own = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("doc"), F.xxhash64(text).alias("x"), whole)
+    return own.join(kept, ["doc", "x"]).dropDuplicates(["doc", "x"]).select("row.*")

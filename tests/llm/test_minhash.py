@@ -58,10 +58,11 @@ def corpus():
 def test_classes_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rows = corpus()
-    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, node string, bands string")
+    more = ["node", "bands", "doc", "x", "row", "__d", "__h", "__doc", "__x"]
+    docs = spark.createDataFrame([(*r, *more) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in more))
     assert sorted(map(tuple, minhash.classes(docs).collect()), key=str) == brute(rows)
     out = minhash.dedup(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {tuple(r[2:]) for r in out.collect()} == {tuple(more)}
     kept = sorted((r.doc_id for r in out.collect()), key=str)
     classes = {}
     for k, c in brute(rows):
