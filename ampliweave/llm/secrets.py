@@ -6,13 +6,16 @@ so copies share postings, and a collision only adds a candidate. A clause's post
 are the union over its clauses. Candidates are verified by the expression itself; rules without a mandatory trigram (hex) scan all texts.
 
 Spans are code points, end exclusive: split() and regexp_extract_all() give what lies between and in the matches, and running lengths give the places.
-The candidates are a table in the shared folder, so Spark broadcasts them only if its own size check allows it, and may split a hot text id otherwise.
+The candidates are a table in the shared folder. Up to BROADCAST of them, by count, are broadcast; beyond that, texts with a posting are joined with them by text id
+(hot ids may be split), and the others, which cannot be candidates, stay where they are.
 
-Nulls: a null text is empty; null doc_ids stay null. Repeated rows give repeated results. Empty tables give empty results. Other columns aren't read.
+Nulls: a null text is empty; null doc_ids stay null. Repeated rows give repeated results. Empty tables give empty results. Other columns aren't read, whatever their names.
+Texts are scanned whole; of spans with one start, that of the earlier rule comes first.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as C
@@ -25,6 +28,8 @@ from .common import cut, text_of
 
 #: Strings that a piece of an expression may stand for before it counts as open.
 STRINGS = 64
+#: Candidates (16 bytes each) that may be broadcast.
+BROADCAST = 1 << 21
 Clause = frozenset[str]
 
 
@@ -144,12 +149,15 @@ def vocabulary(rules=RULES) -> list[str]:
 
 def index(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """Postings (trigram, text_id) of the trigrams that the rules' queries need, for all texts."""
-    words = vocabulary(rules)
     low = docs.select(F.xxhash64(text_of(text)).alias("text_id"), F.lower(text_of(text)).alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(words)]))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary(rules))]))
     return low.select("text_id", F.explode(present).alias("trigram"))
 
 
+def _has_posting(text: Column, rules) -> Column:
+    return F.lower(text).rlike("|".join(re.escape(t) for t in vocabulary(rules)))
+
+
 def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
     """text_id and rules, the bits of the rules whose query its postings fulfil. Rules without a mandatory trigram are not in it."""
     words = {t: i for i, t in enumerate(vocabulary(rules))}
@@ -187,7 +195,12 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text")
     """key and spans, an array of (start, kind: number of the rule, end) in the order of start and kind, for every row of docs."""
     found = cut(candidates(index(docs, rules, text), rules), "secret-candidates")
     rows = docs.select(F.col(key), text_of(text).alias("text"), F.xxhash64(text_of(text)).alias("text_id"))
-    joined = rows.join(found, "text_id", "left").select(key, "text", F.coalesce("rules", F.lit(0)).alias("rules"))
+    if found.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(found), "text_id", "left")
+    else:
+        posted = _has_posting(F.col("text"), rules)
+        joined = rows.where(posted).join(found, "text_id", "left").unionByName(rows.where(~posted), allowMissingColumns=True)
+    joined = joined.select(key, "text", F.coalesce("rules", F.lit(0)).alias("rules"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     parts = []
     for n, rule in enumerate(rules):

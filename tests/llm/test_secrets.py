@@ -33,7 +33,9 @@ def test_queries_hold_in_matches(pattern, text):
     assert re.search(pattern, text) and any(all(t in text.lower() for t in c) for c in secrets.trigram_query(pattern))
 
 
-def test_scan_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 1 << 21])
+def test_scan_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(secrets, "BROADCAST", broadcast)
     rows = [(i if i % 5 else None, t, "r") for i, t in enumerate([*TEXTS, *TEXTS[2:5]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rules string")
     got = secrets.digest(secrets.scan(docs)).collect()
