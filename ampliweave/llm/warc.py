@@ -4,8 +4,8 @@ Headers (page, payload digest, payload size) are reduced by digest to the page t
 reduced table on (digest, salt), so a payload that a third of all pages share spreads over SALTS join keys, and adaptive execution may split
 those further. Records are then written afresh: response records with their payload, revisit records with headers only.
 
-Archives are plain WARC/1.1, written by Spark's text writer: a record is one string, CRLF CRLF ends it. Every record's first named field is the
-id of its archive's warcinfo, drawn anew for each archive, so the reader may split files at that line without mistaking a payload for it; each block is then
+Archives are plain WARC/1.1, written by Spark's text writer: a record is one string, CRLF CRLF ends it. Every file begins with the archive's warcinfo record. Every other
+record's first named field is the id of that one, drawn anew for each archive, so the reader may split files at that line without mistaking a payload for it; each block is then
 checked against its Content-Length. read_foreign() reads archives of any other writer, whole files at a time.
 
 Nulls: a null payload is empty; a null page_id counts as smaller than any other and becomes null again when read. Payloads below min_bytes are always
@@ -27,6 +27,7 @@ from .common import map_rows, new_path
 MIN_BYTES = 1000
 SALTS = 16
 _END = "\r\n\r\n"
+_INFO = "WARC/1.1\r\nWARC-Type: warcinfo\r\n"
 
 
 def headers(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -62,7 +63,7 @@ def _urn(page_id: Column) -> Column:
 
 
 def render(resolved: DataFrame, archive: str) -> DataFrame:
-    """One column, record: each row of resolve() as a WARC record without the CRLF CRLF that ends it."""
+    """One column, record: each row of resolve() as a WARC record without the CRLF CRLF that ends it; a partition's first has the warcinfo record before it."""
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
     block = F.when(revisit, F.col("http")).otherwise(F.concat("http", "payload"))
@@ -84,7 +85,11 @@ def render(resolved: DataFrame, archive: str) -> DataFrame:
         F.octet_length("block").cast("string"),
         F.lit(_END),
     )
-    return resolved.withColumn("http", http).withColumn("block", block).select(F.concat(head, "block").alias("record"))
+    about = "software: ampliweave\r\nformat: WARC File Format 1.1\r\n"
+    info = f"{_INFO}WARC-Record-ID: <urn:uuid:{archive}>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(about)}{_END}{about}{_END}"
+    leads = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = resolved.withColumn("http", http).withColumn("block", block)
+    return rows.select(F.concat(F.when(leads, F.lit(info)).otherwise(""), head, "block").alias("record"))
 
 
 def write(resolved: DataFrame, path: str, compression: str = "gzip") -> str:
@@ -100,7 +105,7 @@ def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
     Raises where a record's block hasn't the length that its header gives, or a response's payload not the digest.
     """
     start = f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
-    raw = spark.read.option("lineSep", start).text(path).where(F.octet_length("value") > 0)
+    raw = spark.read.option("lineSep", start).text(path).where((F.octet_length("value") > 0) & ~F.col("value").startswith(_INFO))
     cut = raw.select(F.substring_index("value", _END, 1).alias("head"), "value")
     named = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
     page = lambda name: F.regexp_extract("head", rf"(?m)^{name}: <urn:ampliweave:page:(-?[0-9]+|none)>", 1).try_cast("long")
@@ -115,8 +120,8 @@ def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
     sound = (F.octet_length("block") == F.col("size")) & (
         (F.col("record_type") == "revisit") | (F.col("payload_digest") == F.sha1(F.encode("payload", "UTF-8"))) & (F.octet_length("payload") == F.col("payload_bytes"))
     )
-    checked = F.when(sound, F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("damaged record: "), F.col("head"))).cast("long"))
-    return df.select(checked.alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    checked = F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("damaged record: "), F.col("head"))).cast("boolean"))
+    return df.where(checked).select("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -1,6 +1,8 @@
 import hashlib
 import uuid
 
+import pytest
+
 from ampliweave.llm import warc
 
 
@@ -29,5 +31,20 @@ def test_round_trip_against_brute_force(spark, tmp_path):
     texts = {r.page_id: r.payload for r in got.collect() if r.record_type == "response"}
     assert texts[5] == odd and texts[11] == "\r\n" * 400_000 and texts[3] == big
     foreign = warc.read_foreign(spark, path).collect()  # by Content-Length alone
-    assert len(foreign) == len(rows) and sum(r.type == "revisit" for r in foreign) == sum(r[3] == "revisit" for r in brute(rows))
+    info = [r for r in foreign if r.type == "warcinfo"]
+    assert len(info) == len(list(tmp_path.glob("*/part-*"))) and len({r.record_id for r in info}) == 1
+    assert len(foreign) == len(rows) + len(info) and sum(r.type == "revisit" for r in foreign) == sum(r[3] == "revisit" for r in brute(rows))
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_damage_is_told(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/a"
+    archive = warc.write(warc.resolve(warc.headers(pages)), f"file://{path}", compression="none")
+    assert warc.read(spark, path, archive).select("url").count() == 5
+    for file in tmp_path.glob("a/part-*"):
+        file.write_bytes(file.read_bytes().replace(b"page 3 page 3", b"page 3 pAge 3", 1))
+    for crc in tmp_path.glob("a/.*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read(spark, path, archive).select("url").collect()
