@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, minhash, mixing, mpeg, pii, quality, repeats, secrets, warc, wordpiece
-from .common import table
+from .common import cut, table
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -41,7 +41,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg.read_back(mpeg.store(table(spark, sf_dir, "documents")))
+    return mpeg.read_back(cut(mpeg.store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

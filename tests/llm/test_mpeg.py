@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ampliweave.llm import mpeg
+from ampliweave.llm.queries import op7_mpeg_audio
 
 
 @settings(max_examples=200, deadline=None)
@@ -74,3 +75,18 @@ def test_tables(spark):
     assert got[None].payload_bytes == 576 and got[None].feature == got[2].feature and got[2].n_bytes == 0
     d = mpeg.describe(mpeg.store(docs)).where("doc_id = 3").first()
     assert d.frames == len(want) // 576 and Fraction(d.duration_num, d.duration_den) == Fraction(d.frames * 1152, 48000)
+
+
+def test_query_against_a_plain_version(spark, tmp_path):
+    texts = [None, "", "a", "b" * 576, "c" * 577, "é😀 " * 900, "a", "\xff" * 40_000]
+    spark.createDataFrame([(i if i != 3 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, feature string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op7_mpeg_audio(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
+    tag = 10 + 10 + 1 + 8
+    for r, t in zip(got, [texts[3], *texts[:3], *texts[4:]]):
+        data = (t or "").encode()
+        padded = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
+        frames = len(padded) // 576
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        assert r.frame_offsets == [tag + 672 * (1 + i) for i in range(frames)] and r.media_bytes == tag + 672 * (1 + frames)
+        assert Fraction(r.duration_num, r.duration_den) == Fraction(1152 * frames, 48_000)
+    assert len({r.feature for r in got if r.n_bytes == 1}) == 1 and len(got) == len(texts)
