@@ -12,8 +12,9 @@ that follow each other in a text as one run with one digit:
    undecided is cut into single suffixes.
 3. Digit: the whole window. Equal groups are the repeated windows.
 
-Digits are hashes: the deciding ones have 128 bits. A pass is a sum with map-side combine and joins of written tables (which Spark can split where one
+Digits are hashes of all 8-grams of what they cover, each mixed by itself, in their order: the deciding ones have 128 bits. A pass is a sum with map-side combine and joins of written tables (which Spark can split where one
 passage is in a third of all texts); no group is ever gathered. Texts are shuffled once, into a bucketed table that later passes join by bucket.
+Workers hold HELD bytes of texts (one text at least) and emit the rows of a buffer of BUFFER bytes at a time, however long a text is.
 
 Nulls: a null text is empty; null doc_ids stay null. Texts shorter than WINDOW have no window. Rows of equal texts of WINDOW bytes or more lose everything.
 Repeated rows count as documents of their own. Empty tables give empty results. Only the key and text columns are read.
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, new_path
@@ -39,7 +40,9 @@ BLOCK = 16
 #: Bytes of texts that a worker hashes at a time, and window starts in a piece of a long text.
 BUFFER, STEP = 1 << 18, 1 << 17
 #: Bytes of texts held as Python objects at a time (one text at least).
-HELD = 1 << 24
+HELD = 1 << 22
+#: Rows that go back at a time.
+SENT = 1 << 14
 _U = np.uint64
 _PLACE = _U((1 << 19) - 1)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -60,7 +63,15 @@ def _powers(m: int) -> np.ndarray:
 
 _POWERS = [_powers(m) for m in _MULTIPLIERS]
 _INVERSE = [_powers(pow(m, -1, 1 << 64)) for m in _MULTIPLIERS]
-_BYTES = _mixed(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
+
+
+def _eights(data: bytes) -> np.ndarray:
+    """A mixed number for the eight bytes at each place. Sums of these don't cancel where bytes alternate in a pattern, as sums over bytes would."""
+    out = np.empty(len(data) - 7, _U)
+    for i in range(8):
+        own = np.frombuffer(data, np.uint64, (len(data) - i) // 8, i)
+        out[i::8] = own[: len(out[i::8])]
+    return _mixed(out ^ _U(0xA0761D6478BD642F))
 
 
 def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +86,10 @@ class Runs:
 
     def __init__(self, parts: list[tuple[int, int, int, int, bytes]]):
         """parts: number of the text, where the piece starts in it, first window start and the end of window starts in it, the piece."""
-        data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
+        data = b"".join(p[4] for p in parts)
         n = len(data)
-        values = _BYTES[data]
-        self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(values * powers[:n])]) for powers in _POWERS]
+        values = _eights(data)
+        self.sums = [np.concatenate([np.zeros(1, _U), np.cumsum(values * powers[: n - 7])]) for powers in _POWERS]
         length = np.array([len(p[4]) for p in parts])
         start = np.cumsum(length) - length
         offset = np.array([p[1] for p in parts])
@@ -103,7 +114,8 @@ class Runs:
         self.gram = _mixed(grams[self.p] ^ _U(0x165667B19E3779F9))
 
     def hash(self, m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[m][b] - self.sums[m][a]) * _INVERSE[m][a]
+        """Of the bytes from a to b, eight or more, wherever they are."""
+        return (self.sums[m][b - 7] - self.sums[m][a]) * _INVERSE[m][a]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The 128-bit digit of pass 1 of each run."""
@@ -121,7 +133,7 @@ class Runs:
         own = _mixed(gram[which] + j.astype(_U))
         clipped = _mixed(own + ((a - top + BLOCK) << 20 | (top + WINDOW - b)).astype(_U))
         return {
-            "run": run, "s0": np.maximum(self.s0[run], top - BLOCK + 1), "s1": np.minimum(self.s1[run], top), "c": _mixed(self.hash(0, top, top - BLOCK + 1 + WINDOW) + own),
+            "run": run, "top": top, "s0": np.maximum(self.s0[run], top - BLOCK + 1), "s1": np.minimum(self.s1[run], top), "c": _mixed(self.hash(0, top, top - BLOCK + 1 + WINDOW) + own),
             "u1": _mixed(self.hash(0, a, b) + clipped), "u2": _mixed(self.hash(1, a, b) + clipped),
         }
 
@@ -149,23 +161,28 @@ def buffers(texts: list[bytes]) -> Iterator[Runs]:
 
 # -- rows of a pass ----------------------------------------------------------------------------------------------------------------------
 _ROWS = "d binary, c long, u1 long, u2 long, multi boolean"
+_PLACED = _ROWS + ", place long"
 _EMPTY = {"text": np.int64, "place": np.int64, "c": _U, "u1": _U, "u2": _U, "multi": bool}
 
 
-def _rows(parts: list[dict[str, np.ndarray]], digests: list[bytes]) -> pa.RecordBatch:
-    """Distinct digits of each text; multi: the text has it in several places, or it was so before."""
+def _rows(parts: list[dict[str, np.ndarray]], digests: list[bytes], placed: bool = True) -> Iterator[pa.RecordBatch]:
+    """Distinct digits of each text; multi: the text has it in several places, or it was so before; place: the first one."""
     x = {k: np.concatenate([p[k] for p in parts] or [np.zeros(0, t)]) for k, t in _EMPTY.items()}
     order = np.lexsort((x["place"], x["u1"], x["text"]))
     x = {k: v[order] for k, v in x.items()}
     n = len(order)
     new = np.ones(n, bool)
     new[1:] = (x["u1"][1:] != x["u1"][:-1]) | (x["text"][1:] != x["text"][:-1])
-    more = x["multi"].copy()
+    more = x["multi"]
     more[1:] |= ~new[1:] & (x["place"][1:] != x["place"][:-1])
     at = np.flatnonzero(new)
     multi = np.logical_or.reduceat(more, at) if n else more
-    d = pa.array(digests, pa.binary()).take(pa.array(x["text"][at]))
-    return pa.RecordBatch.from_arrays([d, *(pa.array(x[k][at].astype(np.int64)) for k in ("c", "u1", "u2")), pa.array(multi)], names=["d", "c", "u1", "u2", "multi"])
+    names = ["d", "c", "u1", "u2", "multi", "place"][: 6 if placed else 5]
+    own = pa.array(digests, pa.binary())
+    for i in range(0, len(at), SENT):
+        few = at[i : i + SENT]
+        columns = [own.take(pa.array(x["text"][few])), *(pa.array(x[k][few].astype(np.int64)) for k in ("c", "u1", "u2")), pa.array(multi[i : i + SENT]), pa.array(x["place"][few])]
+        yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
 
 def _held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,25 +223,24 @@ def _first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in buffers(texts):
             u1, u2 = r.keys()
             parts.append({"text": r.text, "place": r.p + r.shift, "c": r.gram, "u1": u1, "u2": u2, "multi": np.zeros(len(r.p), bool)})
-        yield _rows(parts, [hashlib.md5(t).digest() for t in texts])
+        yield from _rows(parts, [hashlib.md5(t).digest() for t in texts], placed=False)
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _held(batches):
         keys, (multi,) = _asked(batch)
-        parts = []
+        digests = batch.column("d").to_pylist()
         for r in buffers(batch.column("text").to_pylist()):
             found = _find(keys, _of_row(r.keys()[0], r.text))
             x = r.blocks(np.flatnonzero(found >= 0))
             run = x["run"]
-            parts.append({"text": r.text[run], "place": r.p[run] + r.shift[run], "multi": multi[found[run]].astype(bool)} | {k: x[k] for k in ("c", "u1", "u2")})
-        yield _rows(parts, batch.column("d").to_pylist())
+            yield from _rows([{"text": r.text[run], "place": x["top"] + r.shift[run], "multi": multi[found[run]].astype(bool)} | {k: x[k] for k in ("c", "u1", "u2")}], digests)
 
 
 def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _held(batches):
         keys, (multi,) = _asked(batch)
-        parts = []
+        digests = batch.column("d").to_pylist()
         for r in buffers(batch.column("text").to_pylist()):
             x = r.blocks(np.arange(len(r.p)))
             found = _find(keys, _of_row(x["u1"], r.text[x["run"]]))
@@ -232,8 +248,7 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which, s = _expand(x["s0"][at], x["s1"][at] - x["s0"][at] + 1)
             run = x["run"][at][which]
             u1, u2 = r.windows(s)
-            parts.append({"text": r.text[run], "place": s + r.shift[run], "c": u1, "u1": u1, "u2": u2, "multi": multi[found[at]][which].astype(bool)})
-        yield _rows(parts, batch.column("d").to_pylist())
+            yield from _rows([{"text": r.text[run], "place": s + r.shift[run], "c": u1, "u1": u1, "u2": u2, "multi": multi[found[at]][which].astype(bool)}], digests)
 
 
 def _covered(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
@@ -247,12 +262,11 @@ def _covered(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
         return found >= 0 if not len(level) else (found >= 0) & (level[found] == n)
 
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    starts, ends = [], []
+    merged = [np.zeros((2, 0), np.int64)]
     for r in buffers(texts):
         base = r.text * (1 << 40) + r.shift
         done = hit(r.keys()[0], 1, r.text)
-        starts.append((base + r.s0)[done])
-        ends.append((base + r.s1)[done] + WINDOW)
+        starts, ends = [(base + r.s0)[done]], [(base + r.s1)[done] + WINDOW]
         x = r.blocks(np.flatnonzero(~done))
         run = x["run"]
         done = hit(x["u1"], 2, r.text[run])
@@ -264,15 +278,20 @@ def _covered(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
         done = hit(r.windows(s)[0], 3, r.text[run])
         starts.append((base[run] + s)[done])
         ends.append((base[run] + s)[done] + WINDOW)
-    a, b = np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(ends or [np.zeros(0, np.int64)])
+        merged.append(_merged(np.concatenate(starts), np.concatenate(ends)))
+    for p, q in _merged(*np.concatenate(merged, axis=1)).T.tolist():
+        spans[p >> 40].append((p & (1 << 40) - 1, q & (1 << 40) - 1))
+    return spans
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Starts and ends of the unions of ranges that meet."""
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
     new = np.ones(len(a), bool)
     new[1:] = a[1:] > b[:-1]
     at = np.flatnonzero(new)
-    for p, q in zip(a[at].tolist(), b[np.append(at[1:], len(b)) - 1].tolist() if len(at) else ()):
-        spans[p >> 40].append((p & (1 << 40) - 1, q & (1 << 40) - 1))
-    return spans
+    return np.array([a[at], b[np.append(at[1:], len(b)) - 1] if len(at) else b])
 
 
 _CUT = "d binary, spans array<struct<start:long,end:long>>, kept_sha256 string"
@@ -297,9 +316,19 @@ def without(text: bytes, spans: Iterable[tuple[int, int]]) -> bytes:
 
 
 # -- passes ------------------------------------------------------------------------------------------------------------------------------
-def _refined(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: A digit is in several places. In the first pass a row is a place, or a copy of one in an equal text; later a text is there once, and one of its places
+#: may come from two buffers.
+def _row_twice() -> Column:
+    return F.count("*") > 1
+
+
+def _place_twice() -> Column:
+    return F.min(F.xxhash64("d", "place")) != F.max(F.xxhash64("d", "place"))
+
+
+def _refined(rows: DataFrame, twice: Column) -> tuple[DataFrame, DataFrame]:
     """(d, u of digits that repeat; d, u, multi of one text for each distinct digit whose group has undecided ones). rows must be a table."""
-    distinct = cut(rows.groupBy("u1", "u2").agg(F.min("c").alias("c"), ((F.count("*") > 1) | F.max("multi")).alias("multi"), F.min("d").alias("d")), "repeat-digits")
+    distinct = cut(rows.groupBy("u1", "u2").agg(F.min("c").alias("c"), (twice | F.max("multi")).alias("multi"), F.min("d").alias("d")), "repeat-digits")
     undecided = cut(distinct.groupBy("c").agg(F.count("*").alias("n"), F.bool_and("multi").alias("all")).where("n > 1 AND NOT all").select("c"), "repeat-groups")
     on = distinct.join(undecided, "c").select("d", F.col("u1").alias("u"), "multi")
     repeated = rows.join(distinct.where("multi").select("u1", "u2"), ["u1", "u2"]).select("d", F.col("u1").alias("u"))
@@ -332,18 +361,19 @@ def spans_of_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = cut(binary.mapInArrow(_first, _ROWS), "repeat-runs")
     shared = cut(rows.groupBy("c").agg(F.count("*").alias("n"), F.max("multi").alias("multi")).where("n > 1 OR multi").select("c"), "repeat-grams")
     rows = cut(rows.join(shared, "c").select("d", "c", "u1", "u2", "multi"), "repeat-runs")
-    repeated, undecided = _refined(rows)
+    repeated, undecided = _refined(rows, _row_twice())
     repeated, undecided = cut(repeated.distinct(), "repeat-repeated"), cut(undecided, "repeat-undecided")
     texts, name = _texts(docs, repeated.select("d").union(undecided.select("d")).distinct(), key, text)
-    marks = [repeated.withColumn("pass", F.lit(1))]
-    repeated, undecided = _refined(cut(_ask(texts, undecided, _blocks, _ROWS), "repeat-blocks"))
-    marks.append(repeated.withColumn("pass", F.lit(2)))
-    rows = cut(_ask(texts, undecided, _windows, _ROWS), "repeat-windows")
-    again = cut(rows.groupBy("u1", "u2").agg(F.count("*").alias("n"), F.max("multi").alias("multi")).where("n > 1 OR multi").select("u1", "u2"), "repeat-equal")
-    marks.append(rows.join(again, ["u1", "u2"]).select("d", F.col("u1").alias("u"), F.lit(3).alias("pass")))
-    out = cut(_ask(texts, marks[0].unionByName(marks[1]).unionByName(marks[2]), _cut_out, _CUT), "repeat-spans")
-    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    return out
+    try:
+        marks = [repeated.withColumn("pass", F.lit(1))]
+        repeated, undecided = _refined(cut(_ask(texts, undecided, _blocks, _PLACED), "repeat-blocks"), _place_twice())
+        marks.append(repeated.withColumn("pass", F.lit(2)))
+        rows = cut(_ask(texts, undecided, _windows, _PLACED), "repeat-windows")
+        again = cut(rows.groupBy("u1", "u2").agg((_place_twice() | F.max("multi")).alias("multi")).where("multi").select("u1", "u2"), "repeat-equal")
+        marks.append(rows.join(again, ["u1", "u2"]).select("d", F.col("u1").alias("u"), F.lit(3).alias("pass")))
+        return cut(_ask(texts, marks[0].unionByName(marks[1]).unionByName(marks[2]), _cut_out, _CUT), "repeat-spans")
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ampliweave.llm import repeats
@@ -71,3 +72,23 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert repeats.remove(docs.limit(0)).count() == 0
     assert repeats.digest(repeats.remove(docs)).first()[1:4] == (1, 0, 0)
+
+
+def test_digits_tell_alternating_patterns_apart():
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024)).encode()
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    for n in (256, 512, 1024):
+        x, y = next(repeats.buffers([a])), next(repeats.buffers([b]))
+        for m in (0, 1):
+            apart = int(x.hash(m, np.array([0]), np.array([n]))[0]) ^ int(y.hash(m, np.array([0]), np.array([n]))[0])
+            assert apart and apart & -apart < 1 << 16
+
+
+def test_rows_of_a_pass_come_in_small_batches():
+    rng = random.Random(3)
+    text = bytes(rng.randrange(97, 123) for _ in range(600_000))
+    keys = np.concatenate([r.blocks(np.arange(len(r.p)))["u1"] for r in repeats.buffers([text])])
+    asked = pa.array([[{"u": int(u), "multi": False} for u in keys.astype(np.int64)]], pa.list_(pa.struct([("u", pa.int64()), ("multi", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"d" * 16]), pa.array([text]), asked], names=["d", "text", "asked"])
+    out = list(repeats._windows([batch]))
+    assert sum(b.num_rows for b in out) == len(text) - 399 and max(b.num_rows for b in out) <= repeats.SENT
