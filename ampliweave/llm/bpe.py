@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Pieces whose ids a worker remembers, and two thirds of the words; at the bound it forgets them and starts anew.
-REMEMBERED = 400_000
+#: Pieces, and words, in a generation of those whose ids a worker remembers; there are two generations.
+REMEMBERED = 150_000
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACES = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the file's pattern doesn't
 _SPLIT = regex.compile(f"[{_SPACES}]+")
@@ -38,6 +39,29 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
+class Recent(dict):
+    """A bounded dictionary: when a batch would make it larger than REMEMBERED, its entries become the old ones, and older ones are dropped."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys of a batch that aren't known. All others are in the dictionary afterwards, whatever it forgets."""
+        new = keys.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+            new = keys
+        again = new.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        return new.difference(again)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
 class PairIndexBpe:
     """Encoder and decoder of one vocabulary file: white-space-free pieces, lower case, an end-of-word suffix."""
 
@@ -61,8 +85,8 @@ class PairIndexBpe:
         chars = byte_characters()
         self.inner = [self.vocab[c] for c in chars]
         self.final = [self.vocab[c + self.suffix] for c in chars]
-        self.known: dict[str, tuple[str, str, int]] = {}  # white-space-free pieces of texts
-        self.word: dict[str, tuple[str, str, int]] = {}  # what they split into
+        self.known = Recent()  # (ids, tokens, number) of white-space-free pieces of texts
+        self.word = Recent()  # and of what they split into
 
     # -- merging ---------------------------------------------------------------------------------------------------------------
     def encode_pool(self, words: list[bytes]) -> list[list[int]]:
@@ -136,10 +160,7 @@ class PairIndexBpe:
     def _learn(self, pieces: set[str]) -> None:
         split = [(p, self._split(p)) for p in pieces]
         words = self.word
-        new = list({w for _, own in split for w in own if w not in words})
-        if len(words) + len(new) > REMEMBERED + REMEMBERED // 2:
-            words.clear()
-            new = list({w for _, own in split for w in own})
+        new = list(words.missing({w for _, own in split for w in own}))
         for w, ids in zip(new, self.encode_pool([w.encode() for w in new])):
             words[w] = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids))
         for piece, own in split:
@@ -164,11 +185,8 @@ class PairIndexBpe:
             own.append((False, self._pieces(text[at:] if at else text)))
             parts.append(own)
         seen = {p for own in parts for special, pieces in own if not special for p in pieces}
-        new = seen.difference(self.known)
+        new = self.known.missing(seen)
         if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = seen
             self._learn(new)
         known = self.known
         for own in parts:
@@ -198,7 +216,7 @@ def _encoded(keys: list, encoded: Iterator[list[tuple[str, str, int]]], emit: tu
         ids, decoded = " ".join(x[0] for x in own), " ".join(x[1] for x in own)
         got = {
             "n_tokens": lambda: sum(x[2] for x in own),
-            "ids": lambda: list(map(int, ids.split(" "))) if ids else [],
+            "ids": lambda: array("i", map(int, ids.split(" "))) if ids else [],
             "decoded": lambda: decoded,
             "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
             "decoded_sha256": lambda: hashlib.sha256(decoded.encode()).hexdigest(),
@@ -209,15 +227,20 @@ def _encoded(keys: list, encoded: Iterator[list[tuple[str, str, int]]], emit: tu
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", emit: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """key and, as emit asks, n_tokens, ids, the text decoded from them, and their digests. path: the vocabulary file on every machine.
 
-    Narrow: no shuffle, memory bounded by a batch of documents and REMEMBERED pieces.
+    Narrow: no shuffle, memory bounded by a batch of documents and twice REMEMBERED pieces and words, which a worker forgets at the end of a task.
     """
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
-        gc.disable()  # millions of long-lived tuples without a cycle among them
-        try:
-            yield from _encoded(keys, encoder(path).encode_texts([t or "" for t in texts]), emit)
-        finally:
-            gc.enable()  # the worker's next tasks leave cycles
+        return _encoded(keys, encoder(path).encode_texts([t or "" for t in texts]), emit)
+
+    def start() -> None:
+        gc.freeze()  # the encoder and what is loaded have no cycles worth a search
+        gc.disable()  # nor has what a task remembers
+
+    def end() -> None:
+        encoder(path).known.forget()
+        encoder(path).word.forget()
+        gc.enable()
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(F.col(key), F.col(text)), rows, f"`{key}` {kind}, " + ", ".join(f"{e} {_EMIT[e]}" for e in emit))
+    return map_rows(docs.select(F.col(key), F.col(text)), rows, f"`{key}` {kind}, " + ", ".join(f"{e} {_EMIT[e]}" for e in emit), start, end)
