@@ -86,3 +86,9 @@ def valid_target(kind: Column, s: Column) -> Column:
 def overlaps(start: Column, stop: Column, lo: Column, hi: Column) -> Column:
     """Inclusive intervals that share a place (JON13)."""
     return (start <= hi) & (stop >= lo)
+
+
+def at_target(events: Column, lo: Column, hi: Column) -> Column:
+    """The events that touch a target's window, as one text in order of their place; WT without any (EVT6, PIPE4)."""
+    own = F.array_sort(F.filter(events, lambda e: overlaps(e["pos"], last_place(e), lo, hi)), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    return F.when(F.size(own) > 0, render(own)).otherwise("WT")

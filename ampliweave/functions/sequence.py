@@ -69,6 +69,12 @@ def kmers(s: Column, k: int, step: int = 1) -> Column:
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(step)), lambda i: F.substr(F.upper(s), i, F.lit(k))))
 
 
+def combinations(k: int, alphabet: str = "ACGT") -> Column:
+    """For a number below len(alphabet) ** k in column id, the string of k characters that it numbers (SEQ13): spark.range over all of them gives all strings in order."""
+    n = len(alphabet)
+    return F.concat(*[F.substr(F.lit(alphabet), (F.floor(F.col("id") / F.lit(n ** (k - 1 - i))) % n + 1).cast("int"), F.lit(1)) for i in range(k)])
+
+
 def kmer_runs(s: Column, k: int, step: int = 1) -> Column:
     """Array of (kmer, n): equal neighbours of kmers() are one entry (SEQ11)."""
     kind = "array<struct<kmer:string,n:int>>"

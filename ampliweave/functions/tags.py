@@ -42,3 +42,19 @@ def valid(tag: Column, length: int, max_gaps: int | None = None) -> Column:
 def near_length(tag: Column, length: int, max_distance: int) -> Column:
     """Gapless length within max_distance of the configured one (FLT5)."""
     return F.length(S.strip_gaps(tag)).between(length - max_distance, length + max_distance)
+
+
+def flanks(ref_aln: Column, read_aln: Column, width: int = 10) -> Column:
+    """Array of shares of equal bases on each side of each run of tag symbols, over the nearest width columns in which the reference has a letter other than N (WIN3)."""
+    pairs = F.arrays_zip(F.split(ref_aln, "").alias("r"), F.split(read_aln, "").alias("q"))
+    mark = lambda x: F.when(x["r"].rlike("^[0-9]$"), "T").when(~x["r"].rlike("^[A-MO-Za-mo-z]$"), "").when(x["r"] == x["q"], "1").otherwise("0")
+    parts = F.split(F.array_join(F.transform(pairs, mark), ""), "T+")
+    before = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.right(p, F.lit(width)))
+    after = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.left(p, F.lit(width)))
+    sides = F.filter(F.concat(before, after), lambda p: F.length(p) > 0)
+    return F.transform(sides, lambda p: F.length(F.replace(p, F.lit("0"), F.lit(""))) / F.length(p))
+
+
+def well_flanked(ref_aln: Column, read_aln: Column, least: float = 0.5, width: int = 10) -> Column:
+    """No side of a tag is below the least share of equal bases (FLT3); a reference without tags passes."""
+    return F.forall(flanks(ref_aln, read_aln, width), lambda share: share >= least)

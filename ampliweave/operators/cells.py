@@ -1,4 +1,4 @@
-"""Cells, integrations and barcode lists (JON8 to JON13, AGG12, AGG13, SET1, SET2)."""
+"""Cells, integrations and barcode lists (JON8 to JON13, AGG12, AGG13, SET1, SET2), and calls at targets (PIPE4)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
 from ..functions import events as E
+from ..functions import sequence as S
 
 
 def address(df: DataFrame, tags: Sequence[str], name: str = "cell") -> DataFrame:
@@ -67,3 +69,16 @@ def events_in_windows(events: DataFrame, targets: DataFrame) -> DataFrame:
 
 #: Places in a bin of events_in_windows().
 WIDTH = 64
+
+
+def call_targets(aligned: DataFrame, targets: DataFrame, key: str = "read_id") -> DataFrame:
+    """key, ref_name, target, call: what an aligned read has in the editing window of each target of its reference (PIPE4).
+
+    targets: ref_name, target (its number), kind, position and forward. References are joined by name; a hot one is split by adaptive execution. A kind without windows is an error.
+    """
+    windows = targets.withColumn("__w", E.window(F.col("kind"), F.col("position"), F.col("forward")))
+    sure = F.when(F.col("__w.lo").isNull(), F.raise_error(F.concat(F.lit("no target: "), F.coalesce("kind", F.lit("null")))).cast("int")).otherwise(F.col("__w.lo"))
+    windows = windows.select("ref_name", "target", sure.alias("__lo"), F.col("__w.hi").alias("__hi"))
+    events = E.from_cigar(C.of_pair(F.col("ref_aln"), F.col("read_aln")), S.strip_gaps(F.col("read_aln")))
+    rows = aligned.select(key, "ref_name", events.alias("__events")).join(windows, "ref_name")
+    return rows.select(key, "ref_name", "target", E.at_target(F.col("__events"), F.col("__lo"), F.col("__hi")).alias("call"))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import cigar as C
 from ..functions import quality as Q
@@ -17,31 +18,52 @@ from ..functions import quality as Q
 BASES = ("A", "C", "G", "T")
 
 
-def columns_of(ref_aln: Column, read_aln: Column) -> Column:
-    """Array of (pos, ins, ref, base): pos counts reference bases, ins the inserted ones since."""
-    pairs = F.arrays_zip(F.split(ref_aln, "").alias("r"), F.split(read_aln, "").alias("q"))
-    kind = "array<struct<pos:int,ins:int,ref:string,base:string>>"
+def places_of(aligned: Column) -> Column:
+    """For each column of an aligned sequence (pos, ins): the characters other than gaps up to it, and the gaps since the last of them. Linear in its length."""
+    groups = F.regexp_extract_all(F.concat(F.lit("^"), aligned), F.lit("[^-]-*"), F.lit(0))
+    each = lambda g, k: F.transform(F.sequence(F.lit(0), F.length(g) - 1), lambda j: F.struct(k.alias("pos"), j.alias("ins")))
+    return F.slice(F.flatten(F.transform(groups, each)), F.lit(2), F.length(aligned))
 
-    def step(a: Column, x: Column) -> Column:
-        gap = x["r"] == "-"
-        pos, ins = a["pos"] + F.when(gap, 0).otherwise(1), F.when(gap, a["ins"] + 1).otherwise(0)
-        item = F.array(F.struct(pos.alias("pos"), ins.alias("ins"), x["r"].alias("ref"), x["q"].alias("base")))
-        return F.struct(pos.alias("pos"), ins.alias("ins"), F.concat(a["out"], item).cast(kind).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("ins"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+def columns_of(ref_aln: Column, read_aln: Column, quality: Column | None = None) -> Column:
+    """Array of (at: pos and ins, ref, base and, with an array of qualities of the read's bases, q): pos counts reference bases, ins the inserted ones since."""
+    parts = [places_of(ref_aln).alias("at"), F.split(ref_aln, "").alias("ref"), F.split(read_aln, "").alias("base")]
+    if quality is not None:
+        parts.append(F.transform(places_of(read_aln), lambda p: F.when(p["ins"] == 0, F.get(quality, p["pos"] - 1))).alias("q"))
+    return F.arrays_zip(*parts)
 
 
 def pileup(reads: DataFrame, keys: Sequence[str], quality: Column | None = None) -> DataFrame:
-    """keys, pos, ins, ref, n_a, n_c, n_g, n_t, n_n, n_gap (AGG6) and, with a quality for every read's bases, the log2 sums of the alleles."""
-    rows = reads.select(*keys, *([quality.alias("__q")] if quality is not None else []), F.explode(columns_of(F.col("ref_aln"), F.col("read_aln"))).alias("x"))
+    """keys, pos, ins, ref, n_a, n_c, n_g, n_t, n_n, n_gap (AGG6) and, with a quality, the log2 sums of the alleles.
+
+    quality: a number for all bases of a read, or an array with one for each of its bases.
+    """
+    each = quality is not None and isinstance(reads.select(quality).schema[0].dataType, ArrayType)
+    own = [quality.alias("__q")] if quality is not None and not each else []
+    rows = reads.where(F.length("ref_aln") > 0).select(*keys, *own, F.explode(columns_of(F.col("ref_aln"), F.col("read_aln"), quality if each else None)).alias("x"))
     base = F.col("x.base")
     counts = [F.count_if(base == b).alias(f"n_{n}") for b, n in zip((*BASES, "N", "-"), ("a", "c", "g", "t", "n", "gap"))]
     logs = []
     if quality is not None:
-        error = Q.phred_to_error(F.col("__q"))
-        known = base.isin(*Q.ALLELES)
+        error = Q.phred_to_error(F.col("x.q" if each else "__q"))
+        known = base.isin(*Q.ALLELES) & error.isNotNull()
         logs = [F.sum(F.when(known, F.when(base == a, F.log2(1 - error)).otherwise(F.log2(error / 3))).otherwise(0.0)).alias(f"log_{a.lower()}") for a in Q.ALLELES]
-    return rows.groupBy(*keys, F.col("x.pos").alias("pos"), F.col("x.ins").alias("ins")).agg(F.min("x.ref").alias("ref"), *counts, *logs)
+    return rows.groupBy(*keys, F.col("x.at.pos").alias("pos"), F.col("x.at.ins").alias("ins")).agg(F.min("x.ref").alias("ref"), *counts, *logs)
+
+
+def placeable(ref_aln: Column, read_aln: Column, reference: Column | None = None) -> Column:
+    """Whether a read can join a pileup (CON6): as many columns as its reference, none of them of two gaps, and, where it is given, the group's reference without its gaps."""
+    pairs = F.arrays_zip(F.split(ref_aln, "").alias("r"), F.split(read_aln, "").alias("q"))
+    ok = (F.length(ref_aln) > 0) & (F.length(ref_aln) == F.length(read_aln)) & ~F.exists(pairs, lambda x: (x["r"] == "-") & (x["q"] == "-"))
+    if reference is not None:
+        ok = ok & (F.replace(ref_aln, F.lit("-"), F.lit("")) == reference)
+    return F.coalesce(ok, F.lit(False))
+
+
+def quarantined(reads: DataFrame, keys: Sequence[str], reference: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reads that can join the pileup of their group; keys, n and held: the reads of each group and how many of them cannot) (CON6). No read ends the job."""
+    ok = placeable(F.col("ref_aln"), F.col("read_aln"), reference)
+    return reads.where(ok), reads.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(~ok).alias("held"))
 
 
 def base_share(column: str) -> Column:

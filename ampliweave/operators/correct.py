@@ -51,7 +51,7 @@ def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0) -> DataFram
     """
     named = cut(tags.select("g", "tag", "n", F.concat_ws(_SEP, "g", "tag").alias("key")), "cluster-tags")
     same_group = named.select("g", F.col("tag").alias("b"), F.col("n").alias("nb"))
-    # the group is part of the string that blocks, so only tags of one group meet
+    # the group is part of the join key, so only tags of one group meet
     pairs = _pairs_in_groups(named, max_distance)
     offers = pairs.join(named.select("g", F.col("tag").alias("a"), F.col("n").alias("na")), ["g", "a"]).join(same_group, ["g", "b"]).where(F.col("nb") >= F.col("na") * ratio)
     best = offers.groupBy("g", "a").agg(F.max(F.struct("nb", (-F.col("distance")).alias("near"), F.col("b").alias("b"))).alias("best"), F.max("nb").alias("top"))
@@ -68,10 +68,9 @@ def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0) -> DataFram
 
 
 def _pairs_in_groups(named: DataFrame, d: int) -> DataFrame:
-    """(g, a, b, distance) of different tags of one group within edit distance d. Pairs of tags are found over distinct tags, then joined with their groups."""
-    tags = cut(named.select("tag").distinct(), "cluster-distinct")
-    pairs = levenshtein_pairs(tags.select(F.col("tag").alias("a")), tags.select(F.col("tag").alias("b")), "a", "b", d).where("a != b")
-    return pairs.join(named.select("g", F.col("tag").alias("a")), "a").join(named.select("g", F.col("tag").alias("b")), ["g", "b"]).select("g", "a", "b", "distance")
+    """(g, a, b, distance) of different tags of one group within edit distance d."""
+    side = lambda name: named.select("g", F.col("tag").alias(name))
+    return levenshtein_pairs(side("a"), side("b"), "a", "b", d, ["g"]).where("a != b")
 
 
 def correct_level(reads: DataFrame, groups: Sequence[str], level: Level, keep_all: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graphs of strings: components, bridge cuts, cliques (CLU2 to CLU6)."""
+"""Graphs of strings: components, bridge cuts, maximal complete subgraphs (CLU2 to CLU6)."""
 
 from __future__ import annotations
 
@@ -47,17 +47,17 @@ def _grouped(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.join(components(v, edges, "v", a, b), edges[a] == F.col("v")).select("component", F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def maximal_cliques(neighbours: dict) -> list[tuple]:
-    """Bron-Kerbosch with pivots; cliques and their members in order. A graph without vertices has the empty clique."""
+def complete_subgraphs_of(neighbours: dict) -> list[tuple]:
+    """Maximal complete subgraphs by Bron-Kerbosch with pivots; they and their members in order. A graph without vertices has the empty one."""
     out = []
 
-    def grow(clique: list, some: set, none: set) -> None:
+    def grow(held: list, some: set, none: set) -> None:
         if not some and not none:
-            out.append(tuple(sorted(clique)))
+            out.append(tuple(sorted(held)))
             return
         pivot = max(some | none, key=lambda v: (len(neighbours[v] & some), v))
         for v in sorted(some - neighbours[pivot]):
-            grow([*clique, v], some & neighbours[v], none & neighbours[v])
+            grow([*held, v], some & neighbours[v], none & neighbours[v])
             some = some - {v}
             none = none | {v}
 
@@ -75,14 +75,14 @@ def _neighbours(a, b) -> dict:
     return out
 
 
-def cliques(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(component, clique: array of vertices) of all maximal cliques (CLU5); one component a task."""
+def complete_subgraphs(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(component, members: array of vertices) of all maximal complete subgraphs (CLU5); one component a task."""
     kind = edges.schema[a].dataType.simpleString()
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], list(c)) for c in maximal_cliques(_neighbours(rows["a"], rows["b"]))], columns=["component", "clique"])
+        return pd.DataFrame([(key[0], list(c)) for c in complete_subgraphs_of(_neighbours(rows["a"], rows["b"]))], columns=["component", "members"])
 
-    return _grouped(edges, a, b).groupBy("component").applyInPandas(run, f"component {kind}, clique array<{kind}>")
+    return _grouped(edges, a, b).groupBy("component").applyInPandas(run, f"component {kind}, members array<{kind}>")
 
 
 def _distances(neighbours: dict, start) -> dict:

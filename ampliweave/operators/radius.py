@@ -1,12 +1,14 @@
 """Radius joins as equi-joins (JON2 to JON4, JON14, CLU2).
 
 A string with at most d differences from another has one of its d + 1 segments unharmed. So pairs are found by equal segments (at offsets of up to d where
-characters may be inserted or deleted) and then verified; no cross join. A segment is a join key like any other: adaptive execution splits a
+characters may be inserted or deleted) and verified before they are shuffled again; no cross join. A segment is a join key like any other: adaptive execution splits a
 frequent one. Inputs are sets of distinct strings.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,17 +31,17 @@ def _segments(s: Column, parts: int) -> Column:
     return F.array(*out)
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int) -> DataFrame:
-    """(a, b, distance) of equally long strings at d or less. left has column a, right column b."""
-    x = left.select(a, F.explode(_segments(F.col(a), d + 1)).alias("seg"))
-    y = right.select(b, F.explode(_segments(F.col(b), d + 1)).alias("seg"))
-    pairs = x.join(y, "seg").select(a, b).distinct()
-    return pairs.withColumn("distance", S.hamming(F.col(a), F.col(b))).where(F.col("distance") <= d)
+def hamming_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, distance) of equally long strings at d or less, with equal columns in by. left has column a, right column b."""
+    x = left.select(*by, a, F.explode(_segments(F.col(a), d + 1)).alias("seg"))
+    y = right.select(*by, b, F.explode(_segments(F.col(b), d + 1)).alias("seg"))
+    pairs = x.join(y, [*by, "seg"]).withColumn("distance", S.hamming(F.col(a), F.col(b))).where(F.col("distance") <= d)
+    return pairs.select(*by, a, b, "distance").distinct()
 
 
-def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int) -> DataFrame:
-    """(a, b, distance) of strings at edit distance d or less; strings of d characters or fewer meet by length alone."""
-    y = right.select(b, F.explode(_segments(F.col(b), d + 1)).alias("seg"))
+def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, distance) of strings at edit distance d or less, with equal columns in by; strings of d characters or fewer meet by length alone."""
+    y = right.select(*by, b, F.explode(_segments(F.col(b), d + 1)).alias("seg"))
     looks = []
     for i in range(d + 1):
         for delta in range(-d, d + 1):  # n of the other string is n - delta
@@ -49,9 +51,9 @@ def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int)
             for offset in range(-d, d + 1):
                 fits = (n >= 0) & (first + offset >= 0) & (first + offset + size <= F.length(a))
                 looks.append(F.when(fits, F.struct(F.lit(i).alias("i"), n.alias("n"), F.substr(F.col(a), first + offset + 1, size).alias("text"))))
-    x = left.select(a, F.explode(F.array_distinct(F.array_compact(F.array(*looks)))).alias("seg"))
-    pairs = x.join(y, "seg").select(a, b).distinct()
-    return pairs.withColumn("distance", F.levenshtein(a, b, d)).where(F.col("distance") >= 0)
+    x = left.select(*by, a, F.explode(F.array_distinct(F.array_compact(F.array(*looks)))).alias("seg"))
+    pairs = x.join(y, [*by, "seg"]).withColumn("distance", F.levenshtein(a, b, d)).where(F.col("distance") >= 0)
+    return pairs.select(*by, a, b, "distance").distinct()
 
 
 def corrected(tags: DataFrame, whitelist: DataFrame, d: int, metric: str = "levenshtein", ambiguity: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import events as E
 from ..functions import quality as Q
+from ..functions import sequence as S
+from ..functions import tags as T
 from ..operators import cells, consensus, correct, filters, graph, radius, reference
 from ..synth import READS, dna, reads, sql_dna
 from ..tables import table
@@ -348,8 +350,8 @@ def clu4_balanced_parts(spark, sf_dir):
 
 
 @query()
-def clu5_cliques(spark, sf_dir):
-    return graph.cliques(graph.similarity_graph(_short(spark, sf_dir), "v", 1))
+def clu5_complete_subgraphs(spark, sf_dir):
+    return graph.complete_subgraphs(graph.similarity_graph(_short(spark, sf_dir), "v", 1))
 
 
 @query(_RECURSIVE + _SHORT.format(f="levenshtein", d=1) + _REACH)
@@ -358,11 +360,10 @@ def clu6_single_linkage(spark, sf_dir):
 
 
 @query(""",
-    p AS (SELECT x.v AS a, y.v AS b FROM (SELECT DISTINCT v FROM (SELECT substr(seq, 9, 2) AS v FROM reads)) x, (SELECT DISTINCT v FROM (SELECT substr(seq, 9, 2) AS v FROM reads)) y)
+    p AS (SELECT x.v AS a, y.v AS b FROM (SELECT DISTINCT umi AS v FROM reads) x, (SELECT DISTINCT umi AS v FROM reads) y)
     SELECT round(avg(hamming(a, b)), 6) AS mean, CAST(max(hamming(a, b)) AS INT) AS greatest FROM p""")
 def agg11_mean_distance(spark, sf_dir):
-    strings = reads(spark, sf_dir).select(F.substr("seq", F.lit(9), F.lit(2)).alias("v"))
-    return graph.mean_distance(strings, "v").withColumn("mean", F.round("mean", 6))
+    return graph.mean_distance(reads(spark, sf_dir), "umi").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT cell_tag || '.' || umi AS cell, array_to_string(list_sort(list(read_id)), ',') AS reads, count(*) AS n FROM reads GROUP BY ALL")
@@ -407,3 +408,49 @@ def evt6_events_of_alignments(spark, sf_dir):
 
     ops = C.of_pair(_c("ref_aln"), _c("read_aln"))
     return reads(spark, sf_dir).select("read_id", F.size(E.from_cigar(ops, S.strip_gaps(_c("read_aln")))).alias("n_events"))
+
+
+@query("= SELECT string_agg(substr('ACGT', CAST((i // CAST(power(4, 2 - j) AS INT)) % 4 AS INT) + 1, 1), '' ORDER BY j) AS kmer FROM range(64) a(i), range(3) b(j) GROUP BY i")
+def seq13_combinations(spark, sf_dir):
+    return spark.range(4**3).select(S.combinations(3).alias("kmer"))
+
+
+_FLANKS = """,
+    c AS (SELECT read_id, unnest(range(1, length(tagged) + 1)) AS i, tagged, read_aln FROM reads),
+    m AS (SELECT read_id, string_agg(CASE WHEN substr(tagged, i, 1) IN ('0', '1') THEN 'T' WHEN substr(tagged, i, 1) IN ('-', 'N') THEN '' WHEN substr(tagged, i, 1) = substr(read_aln, i, 1) THEN '1' ELSE '0' END, '' ORDER BY i) AS s FROM c GROUP BY read_id),
+    p AS (SELECT read_id, string_split_regex(s, 'T+') AS parts FROM m),
+    f AS (SELECT read_id, list_filter(list_concat(list_transform(parts[1:-2], lambda x: right(x, 10)), list_transform(parts[2:], lambda x: left(x, 10))), lambda x: length(x) > 0) AS sides FROM p)"""
+
+
+@query(_FLANKS + " SELECT read_id FROM f WHERE len(list_filter(sides, lambda x: length(replace(x, '0', '')) < 0.9 * length(x))) = 0")
+def flt3_well_flanked(spark, sf_dir):
+    return reads(spark, sf_dir).where(T.well_flanked(_c("tagged"), _c("read_aln"), 0.9)).select("read_id")
+
+
+@query(_FLANKS + " SELECT read_id, round(list_min(list_transform(sides, lambda x: length(replace(x, '0', ''))::DOUBLE / length(x))), 6) AS least FROM f")
+def win3_flank_identity(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", F.round(F.array_min(T.flanks(_c("tagged"), _c("read_aln"))), 6).alias("least"))
+
+
+@query(" SELECT ref_name, substr(molecule, 1, 14) AS mol, count(*) AS n, count_if(read_id % 9 = 0 OR read_id % 11 = 0) AS held FROM reads GROUP BY ALL")
+def con6_quarantine(spark, sf_dir):
+    """Every ninth read has lost a column and every eleventh has one of two gaps; no read ends the job."""
+    r = _molecules(spark, sf_dir)
+    i, end = _c("read_id"), F.when(_c("read_id") % 11 == 0, "-").otherwise("")
+    r = r.withColumn("ref_aln", F.concat("ref_aln", end)).withColumn("read_aln", F.concat(F.when(i % 9 == 0, F.substr("read_aln", F.lit(2))).otherwise(_c("read_aln")), end))
+    return consensus.quarantined(r, _KEYS)[1]
+
+
+_TARGETS = [("view", 0, "CAS9_DSB", 0, True), ("view", 1, "CAS9_DSB", 5, False), ("click", 0, "CAS12A_DSB", 2, True), ("purchase", 0, "CAS9_ABE", 4, True)]
+
+
+@query(f""",
+    t AS (SELECT * FROM (VALUES ('view', 0, 14, 19), ('view', 1, 8, 14), ('click', 0, 16, 25), ('purchase', 0, 6, 23)) v(ref_name, target, lo, hi)),
+    ev AS (SELECT read_id, CAST(read_id % 11 + 2 AS INT) AS pos, CAST(read_id % 11 + 2 AS INT) AS last, 'I' AS kind, CAST(read_id % 3 + 1 AS INT) AS n FROM reads WHERE read_id % 7 = 0
+           UNION ALL SELECT read_id, CAST(read_id % 10 + 15 AS INT), CAST(read_id % 10 + 15 + read_id % 4 AS INT), 'D', CAST(read_id % 4 + 1 AS INT) FROM reads WHERE read_id % 5 = 0)
+    SELECT r.read_id, r.ref_name, CAST(t.target AS INT) AS target,
+           coalesce((SELECT string_agg(n || kind || '+' || pos || CASE WHEN kind = 'I' THEN '+' || substr('ACGTA', 1, n) ELSE '' END, '&' ORDER BY pos) FROM ev WHERE ev.read_id = r.read_id AND pos <= hi AND last >= lo), 'WT') AS call
+    FROM reads r JOIN t USING (ref_name)""")
+def pipe4_target_calls(spark, sf_dir):
+    targets = spark.createDataFrame(_TARGETS, "ref_name string, target int, kind string, position int, forward boolean")
+    return cells.call_targets(reads(spark, sf_dir), targets)

@@ -34,3 +34,48 @@ def test_mean_distance_of_any_strings(spark, monkeypatch):
         df = spark.createDataFrame([(s,) for s in [*some, some[3], None]], "s string")
         assert close(graph.mean_distance(df, "s").first(), brute(some))
         assert close(graph.mean_distance(df.limit(0), "s").first(), (0.0, 0))
+
+
+def test_complete_subgraphs_and_bridge_cuts_against_all_subsets(spark):
+    from itertools import combinations
+
+    rng = random.Random(9)
+    for _ in range(6):
+        edges = {tuple(sorted(rng.sample(range(9), 2))) for _ in range(rng.choice([6, 12, 20]))}
+        near = lambda a, b: (min(a, b), max(a, b)) in edges
+        vertices = sorted({v for e in edges for v in e})
+        full = [set(c) for n in range(1, 10) for c in combinations(vertices, n) if all(near(a, b) for a, b in combinations(c, 2))]
+        want = sorted(tuple(sorted(c)) for c in full if not any(c < other for other in full))
+        df = spark.createDataFrame(sorted(edges), "a int, b int")
+        assert sorted(tuple(r.members) for r in graph.complete_subgraphs(df).collect()) == want
+        parts = graph.balanced_parts(df, 1).collect()
+        assert sorted(r.v for r in parts) == vertices and all(r.part <= r.v for r in parts)
+    two = [(a, b) for s in (0, 10) for a in range(s, s + 4) for b in range(a + 1, s + 4)] + [(3, 10), (13, 20)]  # two full squares, a bridge, and a tail
+    got = graph.balanced_parts(spark.createDataFrame(two, "a int, b int"), 1).collect()
+    assert {(r.part, r.v) for r in got} == {(0, v) for v in range(4)} | {(10, v) for v in (*range(10, 14), 20)}
+
+
+def test_pairs_stay_in_their_group(spark):
+    from ampliweave.operators import correct
+
+    rows = [("g1", "AAAA", 9), ("g1", "AAAC", 1), ("g2", "AAAC", 5), ("g2", "AACC", 1), ("g2", "TTTT", 3)]
+    got = correct.clusters(spark.createDataFrame(rows, "g string, tag string, n long"), 1, 2.0).collect()
+    assert {(r.g, r.tag): r.root for r in got} == {("g1", "AAAA"): "AAAA", ("g1", "AAAC"): "AAAA", ("g2", "AAAC"): "AAAC", ("g2", "AACC"): "AAAC", ("g2", "TTTT"): "TTTT"}
+
+
+def test_qualities_of_each_base(spark):
+    """Sums of the alleles' logarithms with a quality for each base, insertions and gaps too, and the posteriors that come of them."""
+    from math import log2
+
+    from pyspark.sql import functions as F
+
+    from ampliweave.operators import consensus
+
+    rows = [("g", "AC-GT", "ACTG-", [10, 20, 30, 40]), ("g", "ACGT", "AGGT", [15, 25, 35, 12]), ("g", "ACGT", "--GN", [7, 8])]
+    piles = consensus.pileup(spark.createDataFrame(rows, "k string, ref_aln string, read_aln string, qual array<int>"), ["k"], F.col("qual")).collect()
+    seen = {(1, 0): [("A", 10), ("A", 15)], (2, 0): [("C", 20), ("G", 25)], (2, 1): [("T", 30)], (3, 0): [("G", 40), ("G", 35), ("G", 7)], (4, 0): [("T", 12), ("N", 8)]}
+    assert {(r.pos, r.ins) for r in piles} == set(seen)
+    for r in piles:
+        for a in "ACGT":
+            want = sum(log2(1 - 10 ** (-q / 10)) if b == a else log2(10 ** (-q / 10) / 3) for b, q in seen[r.pos, r.ins])
+            assert abs(r[f"log_{a.lower()}"] - want) < 1e-9
