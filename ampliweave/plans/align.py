@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
 from ..functions import sequence as S
+from ..functions import tags as T
 from ..operators import align as A
 from ..operators import filters, reference
 
@@ -39,3 +43,23 @@ def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | No
     some = reads.join(chosen, key, "left")
     candidates = names if exhaustive else F.when(F.col("ref_name").isNotNull(), F.array("ref_name")).otherwise(F.coalesce("refs", names))
     return A.align_to_best(some.select(key, "seq", candidates.alias("candidates")), references, "candidates", scoring or A.ALIGN, key)
+
+
+def with_read_qualities(aligned: DataFrame, reads: DataFrame, key: str = "read_id") -> DataFrame:
+    """aligned with qual, the qualities of reads (key, seq, qual) in the order of the aligned bases: turned round where the read was."""
+    own = reads.select(key, F.col("seq").alias("__seq"), F.col("qual").alias("__qual"))
+    joined = aligned.join(own, key)
+    return joined.withColumn("qual", F.when(F.upper("seq") == F.upper("__seq"), F.col("__qual")).otherwise(F.reverse("__qual"))).drop("__seq", "__qual")
+
+
+def with_record_tags(aligned: DataFrame, symbols: Mapping[str, Sequence[str]], key: str = "read_id") -> DataFrame:
+    """aligned with tags, a map of e<symbol> (what the read has at each tag of its reference), rc (1), ar (its name), rm (match rate) and as (score) (TAG5).
+
+    symbols: the tags' symbols for each reference's name.
+    """
+    fixed = [F.lit("rc"), F.lit("1"), F.lit("ar"), F.col(key).cast("string"), F.lit("rm"), C.match_rate(F.col("ref_aln"), F.col("read_aln")).cast("string"), F.lit("as"), F.col("score").cast("string")]
+    tags = F.create_map(*fixed)
+    for name, own in symbols.items():
+        more = [x for s in own for x in (F.lit(f"e{s}"), T.extract(F.col("ref_aln"), F.col("read_aln"), s))]
+        tags = F.when(F.col("ref_name") == name, F.create_map(*more, *fixed)).otherwise(tags)
+    return aligned.withColumn("tags", F.map_filter(tags, lambda k, v: v.isNotNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import layout as L
 from ..operators import correct, merge
 from ..sources import alignments, sequences
-from .align import align_reads
+from .align import align_reads, with_read_qualities, with_record_tags
 from .collapse import collapse, usable, with_tags
 
 
@@ -21,13 +21,17 @@ def levels_of(spark: SparkSession, reference: L.Reference, folder: str) -> list[
     return [correct.Level(f"tag{t.order}", t.length, t.max_distance, lists.get(t.name), t.metric, t.ratio, t.max_gaps) for t in reference.tags]
 
 
-def run_align(spark: SparkSession, layout: L.Layout, read1: str, read2: str | None, out: str) -> None:
-    """FASTQ to a parquet table of alignments."""
+def run_align(spark: SparkSession, layout: L.Layout, read1: str, read2: str | None, out: str, sam: str | None = None) -> None:
+    """FASTQ to a parquet table of alignments with their qualities and record tags, and with sam to SAM files of them too."""
     others = {"read2": sequences.read_fastq(spark, read2)} if read2 else {}
     mates = sequences.zip_mates(sequences.read_fastq(spark, read1), **others)
-    reads = merge.merged(mates, layout.merge, bool(read2)).select(F.col("id1").alias("read_id"), "seq")
+    reads = merge.merged(mates, layout.merge, bool(read2)).select(F.col("id1").alias("read_id"), "seq", "qual")
     refs = spark.createDataFrame([(r.name, r.sequence) for r in layout.references], "name string, sequence string")
-    align_reads(reads, refs, known_strand=layout.known_strand).withColumn("flag", F.lit(0)).write.parquet(out)
+    done = with_read_qualities(align_reads(reads, refs, known_strand=layout.known_strand), reads)
+    with_record_tags(done, {r.name: [t.symbol for t in r.tags] for r in layout.references}).withColumn("flag", F.lit(0)).write.parquet(out)
+    if sam:
+        written = spark.read.parquet(out).withColumn("quals", F.col("qual")).withColumnRenamed("tags", "__tags")
+        alignments.write_sam(alignments.records(written, {}, "read_id", "__tags"), [(r.name, len(r.sequence)) for r in layout.references], sam, "align")
 
 
 def run_collapse(spark: SparkSession, layout: L.Layout, aligned: str, out: str, folder: str, mode: str = "collapse") -> None:
@@ -36,7 +40,10 @@ def run_collapse(spark: SparkSession, layout: L.Layout, aligned: str, out: str,
     sizes = [(r.name, len(r.sequence)) for r in layout.references]
     for r in layout.references:
         own = with_tags(rows.where(F.col("ref_name") == r.name), {f"tag{t.order}": t.symbol for t in r.tags})
-        done = collapse(own, levels_of(spark, r, folder), mode)
+        qual = F.col("qual") if "qual" in rows.columns else None
+        done = collapse(own, levels_of(spark, r, folder), mode, quality=qual)
+        if mode == "correct" and qual is not None:
+            done = done.withColumn("quals", qual)
         done = done.withColumn("name", F.concat_ws("_", "ref_name", *[f"tag{t.order}_corr" for t in r.tags]) if mode == "collapse" else F.col("read_id"))
         tags = {f"e{t.symbol}": f"tag{t.order}_corr" for t in r.tags} | ({"rc": "rc", "dc": "dc", "ar": "ar", "rm": "rm"} if mode == "collapse" else {f"o{t.symbol}": f"tag{t.order}" for t in r.tags})
         alignments.write_sam(alignments.records(done, tags, "name"), sizes, f"{out}/{r.name}", f"mode {mode}")
@@ -50,6 +57,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--read1", required=True)
     a.add_argument("--read2")
     a.add_argument("--out", required=True)
+    a.add_argument("--sam")
     c = jobs.add_parser("collapse")
     c.add_argument("--layout", required=True)
     c.add_argument("--aligned", required=True)
@@ -59,7 +67,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("ampliweave").getOrCreate()
     spec = L.load(Path(o.layout).read_text())
     if o.job == "align":
-        run_align(spark, spec, o.read1, o.read2, o.out)
+        run_align(spark, spec, o.read1, o.read2, o.out, o.sam)
     else:
         run_collapse(spark, spec, o.aligned, o.out, str(Path(o.layout).resolve().parent), o.mode)
 

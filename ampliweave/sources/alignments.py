@@ -17,9 +17,11 @@ COLUMNS = ("read_name", "flag", "ref_name", "pos", "mapq", "cigar", "seq", "qual
 SCHEMA = "read_name string, flag int, ref_name string, pos int, mapq int, cigar string, seq string, qual array<int>, tags map<string,string>"
 
 
-def records(df: DataFrame, tags: Mapping[str, str], name: str = "read_name") -> DataFrame:
-    """Rows of SCHEMA from aligned rows (ref_name, ref_aln, read_aln, quals, ref_start) (SNK2, SNK3): no gaps, real qualities. tags: SAM tag to column."""
+def records(df: DataFrame, tags: Mapping[str, str], name: str = "read_name", more: str | None = None) -> DataFrame:
+    """Rows of SCHEMA from aligned rows (ref_name, ref_aln, read_aln, quals, ref_start) (SNK2, SNK3): no gaps, real qualities. tags: SAM tag to column; more: a
+    column with a map of further ones."""
     own = F.map_filter(F.map_from_arrays(F.array(*[F.lit(t) for t in tags]), F.array(*[F.col(c).cast("string") for c in tags.values()])), lambda k, v: v.isNotNull()) if tags else F.create_map().cast("map<string,string>")
+    own = F.map_concat(own, F.col(more)) if more else own
     start = F.col("ref_start") if "ref_start" in df.columns else F.lit(0)
     qual = F.col("quals") if "quals" in df.columns else F.lit(None).cast("array<int>")
     return df.select(

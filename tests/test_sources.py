@@ -100,28 +100,38 @@ def test_command_line(spark, tmp_path):
     from ampliweave.plans import cli
 
     rng = random.Random(6)
-    (tmp_path / "layout.yaml").write_text(LAYOUT.replace("merge: Align\n", ""))
+    text = LAYOUT.replace("merge: Align\n", "").replace("GATCAGG", "GATCAGG" + "".join(rng.choices("ACGT", k=40)))
+    (tmp_path / "layout.yaml").write_text(text)
     cells = ["".join(rng.choices("ACGT", k=8)) for _ in range(5)]
     (tmp_path / "cells.txt").write_text("\n".join(cells))
-    ref = L.load(LAYOUT).references[0].sequence
+    ref = L.load(text).references[0].sequence
     lines, n = [], 0
     for c in cells:
         for umi in ("ACGTAC", "TTGGCC"):
             for k in range(6):
                 tag = ("A" if c[0] != "A" else "C") + c[1:] if k == 5 else c
-                lines.append(f"@r{n}\n{ref.replace('0' * 8, tag).replace('1' * 6, umi)}\n+\n{'I' * len(ref)}\n")
+                qual = "".join(chr(33 + 20 + (n + i) % 20) for i in range(len(ref)))
+                lines.append(f"@r{n}\n{ref.replace('0' * 8, tag).replace('1' * 6, umi)}\n+\n{qual}\n")
                 n += 1
-    (tmp_path / "r.fastq").write_text("".join(lines))
-    layout = L.load((tmp_path / "layout.yaml").read_text())
-    cli.run_align(spark, layout, f"file://{tmp_path}/r.fastq", None, f"file://{tmp_path}/aligned")
+    (tmp_path / "r.fastq").write_text("".join([*lines, f"@bad\n{ref[22:40]}\n+\n{'I' * 18}\n"]))  # too short for the collapse job
+    layout = L.load(text)
+    cli.run_align(spark, layout, f"file://{tmp_path}/r.fastq", None, f"file://{tmp_path}/aligned", f"file://{tmp_path}/sam")
     rows = spark.read.parquet(f"file://{tmp_path}/aligned")
-    assert rows.count() == 60 and rows.where(f"cigar != '{len(ref)}M'").count() == 0
-    import unittest.mock
-
-    with unittest.mock.patch.object(cli, "usable", lambda df: df):
-        cli.run_collapse(spark, layout, f"file://{tmp_path}/aligned", f"file://{tmp_path}/out", f"file://{tmp_path}")
+    assert rows.count() == 61 and rows.where(f"cigar != '{len(ref)}M'").count() == 1
+    reads = {r.read_name: r for r in alignments.read_sam(spark, f"file://{tmp_path}/sam").collect()}
+    for i, line in enumerate(lines):
+        _, seq, _, qual, _ = line.split("\n")
+        got = reads[f"r{i}"]
+        assert got.seq == seq and got.qual == [ord(q) - 33 for q in qual]
+        assert (got.tags["e0"], got.tags["e1"], got.tags["rc"], got.tags["ar"], float(got.tags["rm"])) == (seq[4:12], seq[17:23], "1", f"r{i}", 1.0) and float(got.tags["as"]) > 0
+    cli.run_collapse(spark, layout, f"file://{tmp_path}/aligned", f"file://{tmp_path}/out", f"file://{tmp_path}")
     got = alignments.read_sam(spark, f"file://{tmp_path}/out/amplicon").collect()
     assert sorted((r.tags["e0"], r.tags["e1"], r.tags["rc"]) for r in got) == sorted((c, u, "6") for c in cells for u in ("ACGTAC", "TTGGCC"))
+    assert all(len(r.qual) == len(r.seq) for r in got)
+    assert all(min(r.qual[23:]) == 40 for r in got)  # six reads agree, and 40 is the most
+    cli.run_collapse(spark, layout, f"file://{tmp_path}/aligned", f"file://{tmp_path}/each", f"file://{tmp_path}", "correct")
+    each = {r.read_name: r for r in alignments.read_sam(spark, f"file://{tmp_path}/each/amplicon").collect()}
+    assert len(each) == 60 and all(each[k].qual == reads[k].qual and each[k].tags["o0"] == reads[k].tags["e0"] for k in each)
 
 
 def test_streaming(spark, tmp_path):
