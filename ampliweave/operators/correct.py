@@ -44,7 +44,7 @@ def padded(tag: Column, length: int) -> Column:
     return F.when(F.length(s) < length, F.rpad(s, length, "-")).otherwise(s)
 
 
-def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0) -> DataFrame:
+def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0, length: int | None = None) -> DataFrame:
     """(g, tag, root) for rows (g, tag, n): a tag goes to the neighbour within max_distance that has ratio times its reads, and with it to that one's root (CLU1).
 
     Among several, the one of most reads, then the nearest, then the least. Pointers are jumped until none changes; each round is a table.
@@ -52,7 +52,7 @@ def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0) -> DataFram
     named = cut(tags.select("g", "tag", "n", F.concat_ws(_SEP, "g", "tag").alias("key")), "cluster-tags")
     same_group = named.select("g", F.col("tag").alias("b"), F.col("n").alias("nb"))
     # the group is part of the join key, so only tags of one group meet
-    pairs = _pairs_in_groups(named, max_distance)
+    pairs = _pairs_in_groups(named, max_distance, length)
     offers = pairs.join(named.select("g", F.col("tag").alias("a"), F.col("n").alias("na")), ["g", "a"]).join(same_group, ["g", "b"]).where(F.col("nb") >= F.col("na") * ratio)
     best = offers.groupBy("g", "a").agg(F.max(F.struct("nb", (-F.col("distance")).alias("near"), F.col("b").alias("b"))).alias("best"), F.max("nb").alias("top"))
     # of equal reads and distance the least tag, not the greatest
@@ -67,10 +67,10 @@ def clusters(tags: DataFrame, max_distance: int, ratio: float = 5.0) -> DataFram
             return links
 
 
-def _pairs_in_groups(named: DataFrame, d: int) -> DataFrame:
+def _pairs_in_groups(named: DataFrame, d: int, length: int | None) -> DataFrame:
     """(g, a, b, distance) of different tags of one group within edit distance d."""
     side = lambda name: named.select("g", F.col("tag").alias(name))
-    return levenshtein_pairs(side("a"), side("b"), "a", "b", d, ["g"]).where("a != b")
+    return levenshtein_pairs(side("a"), side("b"), "a", "b", d, ["g"], length).where("a != b")
 
 
 def correct_level(reads: DataFrame, groups: Sequence[str], level: Level, keep_all: bool = False) -> DataFrame:
@@ -81,11 +81,11 @@ def correct_level(reads: DataFrame, groups: Sequence[str], level: Level, keep_al
     counted = distinct_tags(usable.withColumn("__tag", padded(F.col(tag), level.length)), groups, "__tag")
     if level.whitelist is not None:
         listed = level.whitelist.select(padded(F.col("seq"), level.length).alias("seq")).distinct()
-        found = corrected(counted.select(F.col("__tag").alias("tag")).distinct(), listed, level.max_distance, level.metric)
+        found = corrected(counted.select(F.col("__tag").alias("tag")).distinct(), listed, level.max_distance, level.metric, length=level.length)
         table, on = cut(found.select(F.col("tag").alias("__tag"), F.col("corrected").alias(out)), "corrections"), ["__tag"]
     else:
         key = F.concat_ws(_SEP, *[F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in groups]) if groups else F.lit("")
-        roots = clusters(counted.select(key.alias("g"), F.col("__tag").alias("tag"), "n"), level.max_distance, level.ratio)
+        roots = clusters(counted.select(key.alias("g"), F.col("__tag").alias("tag"), "n"), level.max_distance, level.ratio, level.length)
         table, on = roots.select(F.col("g").alias("__g"), F.col("tag").alias("__tag"), F.col("root").alias(out)), ["__g", "__tag"]
         usable, reads = usable.withColumn("__g", key), reads.withColumn("__g", key)
     left = (reads if keep_all else usable).withColumn("__tag", padded(F.col(tag), level.length))

@@ -8,12 +8,16 @@ frequent one. Inputs are sets of distinct strings.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
+#: Shortened forms of a string that may be join keys.
+MOST_KEYS = 200
+
 
 def _bounds(s: Column, i: int, parts: int) -> tuple[Column, Column]:
     """First place (from 0) and length of the i-th of so many segments."""
@@ -39,8 +43,27 @@ def hamming_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int, by:
     return pairs.select(*by, a, b, "distance").distinct()
 
 
-def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, a, b, distance) of strings at edit distance d or less, with equal columns in by; strings of d characters or fewer meet by length alone."""
+def _shortened(s: Column, d: int) -> Column:
+    """Array of the distinct strings that are left when up to d characters of s are taken out."""
+    every = last = F.array(s)
+    for _ in range(d):
+        one = lambda v: F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+        last = F.array_distinct(F.flatten(F.transform(F.filter(last, lambda v: F.length(v) > 0), one)))
+        every = F.concat(every, last)
+    return F.array_distinct(every)
+
+
+def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int, by: Sequence[str] = (), length: int | None = None) -> DataFrame:
+    """(by, a, b, distance) of strings at edit distance d or less, with equal columns in by; strings of d characters or fewer meet by length alone.
+
+    length: how long the strings are, about. Short ones, with MOST_KEYS ways at most to take up to d characters out, meet by what is left, which few others share; long
+    ones, and those of an unknown length, by segments. Both ways find all pairs, whatever the lengths.
+    """
+    if length is not None and sum(comb(length, i) for i in range(d + 1)) <= MOST_KEYS:
+        x = left.select(*by, a, F.explode(_shortened(F.col(a), d)).alias("seg"))
+        y = right.select(*by, b, F.explode(_shortened(F.col(b), d)).alias("seg"))
+        pairs = x.join(y, [*by, "seg"]).withColumn("distance", F.levenshtein(a, b, d)).where(F.col("distance") >= 0)
+        return pairs.select(*by, a, b, "distance").distinct()
     y = right.select(*by, b, F.explode(_segments(F.col(b), d + 1)).alias("seg"))
     looks = []
     for i in range(d + 1):
@@ -56,7 +79,7 @@ def levenshtein_pairs(left: DataFrame, right: DataFrame, a: str, b: str, d: int,
     return pairs.select(*by, a, b, "distance").distinct()
 
 
-def corrected(tags: DataFrame, whitelist: DataFrame, d: int, metric: str = "levenshtein", ambiguity: str | None = None) -> DataFrame:
+def corrected(tags: DataFrame, whitelist: DataFrame, d: int, metric: str = "levenshtein", ambiguity: str | None = None, length: int | None = None) -> DataFrame:
     """(tag, corrected, distance) of the tags that the whitelist settles. tags: tag; whitelist: seq; both distinct.
 
     An exact hit wins. Otherwise ambiguity "unique_hit" wants a single entry within d (the rule with Hamming distance), "unique_min" a single nearest
@@ -65,7 +88,8 @@ def corrected(tags: DataFrame, whitelist: DataFrame, d: int, metric: str = "leve
     ambiguity = ambiguity or {"hamming": "unique_hit", "levenshtein": "unique_min"}[metric]
     exact = tags.join(whitelist, tags.tag == whitelist.seq).select("tag", F.col("seq").alias("corrected"), F.lit(0).alias("distance"))
     rest = tags.join(whitelist, tags.tag == whitelist.seq, "left_anti").select("tag")
-    pairs = {"hamming": hamming_pairs, "levenshtein": levenshtein_pairs}[metric](rest, whitelist.select("seq"), "tag", "seq", d)
+    listed = whitelist.select("seq")
+    pairs = hamming_pairs(rest, listed, "tag", "seq", d) if metric == "hamming" else levenshtein_pairs(rest, listed, "tag", "seq", d, length=length)
     by_distance = pairs.groupBy("tag", "distance").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     near = by_distance.groupBy("tag").agg(F.min(F.struct("distance", "n", "seq")).alias("best"), F.sum("n").alias("hits"))
     near = near.where("hits = 1" if ambiguity == "unique_hit" else "best.n = 1")

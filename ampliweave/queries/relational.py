@@ -106,12 +106,12 @@ _NEAREST = _LISTS + """,
 
 @query(_NEAREST + " SELECT * FROM corr")
 def jon3_levenshtein_whitelist(spark, sf_dir):
-    return radius.corrected(*_tags(spark, sf_dir), 2, "levenshtein")
+    return radius.corrected(*_tags(spark, sf_dir), 2, "levenshtein", length=8)
 
 
 @query(_NEAREST + " SELECT tag, corrected FROM corr WHERE distance > 0")
 def jon4_top_lookup(spark, sf_dir):
-    return radius.corrected(*_tags(spark, sf_dir), 2).where("distance > 0").select("tag", "corrected")
+    return radius.corrected(*_tags(spark, sf_dir), 2, length=8).where("distance > 0").select("tag", "corrected")
 
 
 @query(_NEAREST + " SELECT read_id, ref_name, corrected FROM reads JOIN corr ON cell_tag = tag")
@@ -139,7 +139,7 @@ _RECURSIVE = "=WITH RECURSIVE " + READS
 @query(_RECURSIVE + _CLUSTER.format(g="ref_name", tag="substr(seq, 1, 7)", source="reads", d=1, ratio=2) + " SELECT g, tag, root FROM root")
 def clu1_degenerate_clusters(spark, sf_dir):
     n = reads(spark, sf_dir).groupBy(_c("ref_name").alias("g"), F.substr("seq", F.lit(1), F.lit(7)).alias("tag")).agg(F.count("*").alias("n"))
-    return correct.clusters(n, 1, 2.0)
+    return correct.clusters(n, 1, 2.0, 7)
 
 
 @query(_RECURSIVE + _NEAREST + """,

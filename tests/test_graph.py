@@ -79,3 +79,24 @@ def test_qualities_of_each_base(spark):
         for a in "ACGT":
             want = sum(log2(1 - 10 ** (-q / 10)) if b == a else log2(10 ** (-q / 10) / 3) for b, q in seen[r.pos, r.ins])
             assert abs(r[f"log_{a.lower()}"] - want) < 1e-9
+
+
+def test_both_ways_to_meet_find_all_pairs(spark):
+    from ampliweave.operators import radius
+
+    rng = random.Random(11)
+    strings = sorted({"".join(rng.choices("AC", k=rng.randint(0, 7))) for _ in range(60)})
+
+    def apart(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    left, right = spark.createDataFrame([(s,) for s in strings], "a string"), spark.createDataFrame([(s,) for s in strings], "b string")
+    for d in (1, 2):
+        want = sorted((x, y, apart(x, y)) for x in strings for y in strings if apart(x, y) <= d)
+        for length in (None, 6):
+            assert sorted(map(tuple, radius.levenshtein_pairs(left, right, "a", "b", d, length=length).collect())) == want
