@@ -19,6 +19,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +63,14 @@ class Recent(dict):
         self.old = {}
 
 
+def _joined(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+    """(ids, tokens, number) of a text from those of its parts."""
+    if not parts:
+        return "", "", 0
+    ids, tokens, n = zip(*parts)
+    return " ".join(ids), " ".join(tokens), sum(n)
+
+
 class PairIndexBpe:
     """Encoder and decoder of one vocabulary file: white-space-free pieces, lower case, an end-of-word suffix."""
 
@@ -73,6 +82,7 @@ class PairIndexBpe:
         self.suffix = model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (*self.vocab.items(), *self.added.items())}
+        self.digits = {i: str(i) for i in self.token}
         self.merges: list[tuple[int, int, int]] = []
         self.rank: dict[int, int] = {}  # of left << 20 | right
         for pair in model["merges"]:
@@ -83,33 +93,35 @@ class PairIndexBpe:
         self.words = regex.compile(split)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         chars = byte_characters()
-        self.inner = [self.vocab[c] for c in chars]
-        self.final = [self.vocab[c + self.suffix] for c in chars]
+        # symbols of the letters within a word, of final letters, and of a word's end, and the ranks of their pairs
+        letters = [*(self.vocab[c] for c in chars), *(self.vocab[c + self.suffix] for c in chars)]
+        self.letters = np.array([*letters, -1])
+        self.letter_rank = np.full((513, 513), -1, np.int32)
+        for i, a in enumerate(letters[:256]):
+            self.letter_rank[i, :512] = [self.rank.get(a << 20 | b, -1) for b in letters]
         self.known = Recent()  # (ids, tokens, number) of white-space-free pieces of texts
         self.word = Recent()  # and of what they split into
 
     # -- merging ---------------------------------------------------------------------------------------------------------------
     def encode_pool(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word (non-empty bytes), merged together through one pair index."""
-        inner, final, rank_of = self.inner, self.final, self.rank.get
-        sym: list[int] = []
-        starts: list[int] = []
-        for word in words:
-            starts.append(len(sym))
-            own = [inner[b] for b in word]
-            own[-1] = final[word[-1]]
-            own.append(-1)  # ends the word; no pair has it
-            sym += own
-        n = len(sym)
+        if not words:
+            return []
+        rank_of = self.rank.get
+        letter = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        n = len(letter)
+        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        letter[end - 1] += 256  # a final letter
+        letter[end] = 512  # ends the word; no pair has it
+        starts = [0, *(end[:-1] + 1).tolist()]
+        sym = self.letters[letter].tolist()
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for at, rank in enumerate(map(rank_of, [a << 20 | b for a, b in zip(sym, sym[1:])])):
-            if rank is not None:
-                if rank in index:
-                    index[rank].append(at)
-                else:
-                    index[rank] = [at]
-        heap = sorted(index)
+        first = self.letter_rank[letter[:-1], letter[1:]]
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, begin = np.unique(first[at], return_index=True)
+        heap = ranks.tolist()
+        index: dict[int, list[int]] = {k: own.tolist() for k, own in zip(heap, np.split(at, begin[1:]))}
         while heap:
             rank = heapq.heappop(heap)
             left, right, made = self.merges[rank]
@@ -162,13 +174,12 @@ class PairIndexBpe:
         words = self.word
         new = list(words.missing({w for _, own in split for w in own}))
         for w, ids in zip(new, self.encode_pool([w.encode() for w in new])):
-            words[w] = (" ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids))
+            words[w] = (" ".join(map(self.digits.__getitem__, ids)), " ".join(map(self.token.__getitem__, ids)), len(ids))
         for piece, own in split:
             if len(own) == 1:
                 self.known[piece] = words[own[0]]
             else:
-                got = [words[w] for w in own]
-                self.known[piece] = (" ".join([x[0] for x in got]), " ".join([x[1] for x in got]), sum([x[2] for x in got]))
+                self.known[piece] = _joined([words[w] for w in own])
 
     def _pieces(self, text: str) -> list[str]:
         return [p for p in _SPLIT.split(text) if p] if _ODD_SPACES.search(text) else text.split()
@@ -184,7 +195,11 @@ class PairIndexBpe:
                 at = m.end()
             own.append((False, self._pieces(text[at:] if at else text)))
             parts.append(own)
-        seen = {p for own in parts for special, pieces in own if not special for p in pieces}
+        seen: set[str] = set()
+        for own in parts:
+            for special, pieces in own:
+                if not special:
+                    seen.update(pieces)
         new = self.known.missing(seen)
         if new:
             self._learn(new)
@@ -213,9 +228,9 @@ _EMIT = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha2
 
 def _encoded(keys: list, encoded: Iterator[list[tuple[str, str, int]]], emit: tuple[str, ...]) -> Iterator[tuple]:
     for k, own in zip(keys, encoded):
-        ids, decoded = " ".join(x[0] for x in own), " ".join(x[1] for x in own)
+        ids, decoded, n = _joined(own)
         got = {
-            "n_tokens": lambda: sum(x[2] for x in own),
+            "n_tokens": lambda: n,
             "ids": lambda: array("i", map(int, ids.split(" "))) if ids else [],
             "decoded": lambda: decoded,
             "ids_sha256": lambda: hashlib.sha256(ids.encode()).hexdigest(),
