@@ -8,7 +8,8 @@ the diagonal wins, then the insertion; the last of equal final states starts the
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ HELD = 48 << 20
 
 @dataclass(frozen=True)
 class Scoring:
-    """A gap of n costs gap_open + n * gap_extend; at either end of both sequences the extension is scaled by final. N scores special, tag symbols (below ':') symbol."""
+    """A gap of n costs gap_open + n * gap_extend; at either end of both sequences the extension is scaled by final. N scores special, tag symbols (below ':') symbol;
+    with special None they are letters as others are."""
 
     match: float = 10.0
     mismatch: float = -9.0
-    special: float = 9.0
+    special: float | None = 9.0
     gap_open: float = -20.0
     gap_extend: float = -2.0
     final: float = 1.0
@@ -36,6 +38,8 @@ class Scoring:
     def table(self) -> np.ndarray:
         t = np.full((256, 256), self.mismatch)
         np.fill_diagonal(t, self.match)
+        if self.special is None:
+            return t
         t[:58] = t[:, :58] = self.special if self.symbol is None else self.symbol
         t[78] = t[:, 78] = self.special
         return t
@@ -46,6 +50,8 @@ ALIGN = Scoring()
 NUCLEOTIDE = Scoring(5.0, -4.0, 4.0, -10.0, -0.5, 0.5)
 MERGE = Scoring(10.0, -5.0, 8.0, -15.0, -1.0, 0.25)
 SIMPLE = Scoring(1.0, -1.0, 1.0, -5.0, -1.0, 1.0, -1.0)
+# The scoring of inverted stretches, and what each one costs.
+INVERTED, INVERSION = Scoring(9.0, -21.0, None, -25.0, -1.0), -40.0
 PRESETS = {"align": ALIGN, "nucleotide": NUCLEOTIDE, "merge": MERGE, "simple": SIMPLE}
 Aligned = tuple[str, str, float]
 #: Place in ref and in read before and behind a jump, its score, and its (ref_aln, read_aln).
@@ -58,8 +64,10 @@ def _best(up: np.ndarray, left: np.ndarray, diag: np.ndarray) -> tuple[np.ndarra
     return np.where(ups, up, np.where(lefts, left, diag)), (ups + 2 * lefts).astype(np.int8)
 
 
-def _global(ref: np.ndarray, read: np.ndarray, s: Scoring, jumps: Sequence[Sequence[Jump]] = ()) -> list:
-    """Alignments of n pairs of one shape; ref and read are matrices of bytes. With jumps, lists of them for each pair: (parts from the left, score), as _back_over() has them."""
+def _global(ref: np.ndarray, read: np.ndarray, s: Scoring, jumps: Sequence[Sequence[Jump]] = (), band: int | None = None) -> list:
+    """Alignments of n pairs of one shape; ref and read are matrices of bytes. With jumps, lists of them for each pair: (parts from the left, score), as _back_over() has them.
+    With a band only cells at most so far beside the diagonals of both corners are computed.
+    """
     n, rows, cols = len(ref), ref.shape[1], read.shape[1]
     if not rows or not cols:
         return [_edge(bytes(a), bytes(b), s) for a, b in zip(ref, read)]
@@ -68,6 +76,8 @@ def _global(ref: np.ndarray, read: np.ndarray, s: Scoring, jumps: Sequence[Seque
     edge = (s.gap_open + place * s.gap_extend) * s.final
     m, d, i = np.full((n, cols + 1), NEVER), np.tile(edge, (n, 1)), np.tile(edge, (n, 1))
     m[:, 0], d[:, 0], i[:, 0] = 0.0, NEVER, NEVER
+    below, above = (rows, cols) if band is None else (band + max(rows - cols, 0), band + max(cols - rows, 0))
+    d[:, above + 1 :] = i[:, above + 1 :] = NEVER
     begin: dict[int, list] = {}  # row -> jumps from it, and to it
     end: dict[int, list] = {}
     for k, own in enumerate(jumps):
@@ -86,21 +96,27 @@ def _global(ref: np.ndarray, read: np.ndarray, s: Scoring, jumps: Sequence[Seque
         ext = np.full(cols + 1, s.gap_extend * (s.final if x == rows else 1.0))
         ext[cols] = s.gap_extend * s.final
         start = s.gap_open + ext
-        score = table[ref[:, x - 1][:, None], read]
-        m2, d2, i2 = np.empty_like(m), np.empty_like(m), np.empty_like(m)
-        m2[:, 0], d2[:, 0], i2[:, 0] = NEVER, (s.gap_open + x * s.gap_extend) * s.final, (s.gap_open + x * s.gap_extend) * s.final
-        m2[:, 1:], ways[0, x, :, 1:] = _best(d[:, :-1] + score, i[:, :-1] + score, m[:, :-1] + score)
+        low, high = max(1, x - below), min(cols, x + above)
+        at, before, last = slice(low, high + 1), slice(low - 1, high), min(high, cols - 1) + 1
+        score = table[ref[:, x - 1][:, None], read[:, before]]
+        m2, d2, i2 = np.full_like(m, NEVER), np.full_like(m, NEVER), np.full_like(m, NEVER)
+        if x <= below:
+            d2[:, 0] = i2[:, 0] = (s.gap_open + x * s.gap_extend) * s.final
+        m2[:, at], ways[0, x, :, at] = _best(d[:, before] + score, i[:, before] + score, m[:, before] + score)
         for k, jump in end.get(x, ()):
             value, z = corner[k, jump[0], jump[1]]
             if value + jump[4] > m2[k, jump[3]]:
                 m2[k, jump[3]] = value + jump[4]
                 taken[k][x, jump[3]] = (jump, z)
-        d2[:, 1:], ways[1, x, :, 1:] = _best(d[:, 1:] + ext[1:], i[:, 1:] + start[1:], m[:, 1:] + start[1:])
-        base, e = np.maximum(m2, d2)[:, :-1], ext[0]
-        run = np.maximum.accumulate(np.concatenate([i2[:, :1], base[:, :-1] + s.gap_open - e * place[: cols - 1]], axis=1), axis=1)
-        i2[:, 1:cols] = run[:, 1:] + e * place[1:cols]
-        i2[:, cols] = np.maximum(base[:, -1] + start[cols], i2[:, cols - 1] + ext[cols])
-        ways[2, x, :, 1:] = _best(d2[:, :-1] + start[1:], i2[:, :-1] + ext[1:], m2[:, :-1] + start[1:])[1]
+        d2[:, at], ways[1, x, :, at] = _best(d[:, at] + ext[at], i[:, at] + start[at], m[:, at] + start[at])
+        e = ext[0]
+        if low < last:
+            from_base = np.maximum(m2, d2)[:, low - 1 : last - 1] + s.gap_open - e * place[low - 1 : last - 1]
+            run = np.maximum.accumulate(np.concatenate([i2[:, low - 1 : low] - e * place[low - 1], from_base], axis=1), axis=1)
+            i2[:, low:last] = run[:, 1:] + e * place[low:last]
+        if high == cols:
+            i2[:, cols] = np.maximum(np.maximum(m2[:, -2], d2[:, -2]) + start[cols], i2[:, cols - 1] + ext[cols])
+        ways[2, x, :, at] = _best(d2[:, before] + start[at], i2[:, before] + ext[at], m2[:, before] + start[at])[1]
         m, d, i = m2, d2, i2
         leave(x)
     out = []
@@ -155,8 +171,13 @@ def _back_over(ways: np.ndarray, ref: bytes, read: bytes, z: int, taken: dict) -
     return out[::-1]
 
 
-def align_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN) -> list[Aligned]:
-    """Global alignments (ref_aln, read_aln, score) of pairs (ALN1, ALN2, ALN5, ALN6)."""
+def align_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN, band: int | None = None) -> list[Aligned]:
+    """Global alignments (ref_aln, read_aln, score) of pairs (ALN1, ALN2, ALN5, ALN6), with a band the best of those within it (ALN3).
+
+    A band as wide as the shorter sequence leaves nothing out.
+    """
+    if band is not None and band < 0:
+        raise ValueError(f"negative band {band}")
     a, b = [r.encode("latin-1") for r in refs], [r.encode("latin-1") for r in reads]
     shapes: dict[tuple[int, int], list[int]] = {}
     for k, (x, y) in enumerate(zip(a, b)):
@@ -167,11 +188,62 @@ def align_pairs(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = AL
         for at in range(0, len(own), size):
             part = own[at : at + size]
             matrix = lambda texts, width: np.frombuffer(b"".join(texts[k] for k in part), np.uint8).reshape(len(part), width)
-            for k, r in zip(part, _global(matrix(a, n), matrix(b, m), scoring)):
+            for k, r in zip(part, _global(matrix(a, n), matrix(b, m), scoring, band=band)):
                 out[k] = r
     return out
 
 
+@dataclass(frozen=True)
+class Convex:
+    """A gap of n costs gap_open + gap_scale * log10(n) and n * gap_extend; bases score as in Scoring. With gap_scale and gap_open 0 gaps are linear."""
+
+    match: float = 10.0
+    mismatch: float = -9.0
+    gap_open: float = -10.0
+    gap_scale: float = -10.0
+    gap_extend: float = 0.0
+
+    def gaps(self, n: int) -> np.ndarray:
+        """Costs of gaps of 1 to n."""
+        length = np.arange(1, n + 1, dtype=np.float64)
+        return self.gap_open + self.gap_scale * np.log10(length) + self.gap_extend * length
+
+
+def align_convex(ref: str, read: str, scoring: Convex = Convex()) -> Aligned:
+    """A global alignment whose gaps cost any function of their length (ALN16): each cell looks back over all lengths, cubic time.
+
+    Of equal scores the diagonal wins, then a gap in the read, then the shorter gap.
+    """
+    a, b = (np.frombuffer(t.encode("latin-1"), np.uint8) for t in (ref, read))
+    rows, cols = len(a), len(b)
+    gap = scoring.gaps(max(rows, cols, 1))
+    best, back = np.full((rows + 1, cols + 1), NEVER), np.zeros((rows + 1, cols + 1), np.int64)  # back: 0 diagonal, n > 0 n rows up, n < 0 -n columns left
+    best[0, 0] = 0.0
+    for x in range(rows + 1):
+        if x:
+            up = best[x - 1 :: -1] + gap[:x, None]
+            n = up.argmax(axis=0)
+            best[x], back[x] = up[n, np.arange(cols + 1)], n + 1
+            diag = best[x - 1, :-1] + np.where(b == a[x - 1], scoring.match, scoring.mismatch)
+            win = diag >= best[x, 1:]
+            best[x, 1:][win], back[x, 1:][win] = diag[win], 0
+        for y in range(1, cols + 1):
+            left = best[x, y - 1 :: -1] + gap[:y]
+            n = int(left.argmax())
+            if left[n] > best[x, y]:
+                best[x, y], back[x, y] = left[n], -n - 1
+    x, y, p, q = rows, cols, "", ""
+    while x or y:
+        n = int(back[x, y])
+        if n > 0:
+            p, q, x = ref[x - n : x] + p, "-" * n + q, x - n
+        elif n < 0:
+            p, q, y = "-" * -n + p, read[y + n : y] + q, y + n
+        else:
+            p, q, x, y = ref[x - 1] + p, read[y - 1] + q, x - 1, y - 1
+    return p, q, float(best[rows, cols])
+
+
 def _local(ref: np.ndarray, read: np.ndarray, s: Scoring, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ways back) of n pairs of one shape, each (3, rows + 1, n, columns + 1); nothing is below zero, and held cells are zero."""
     n, rows, cols = len(ref), ref.shape[1], read.shape[1]
@@ -260,20 +332,21 @@ def cigar_of(ref_aln: str, read_aln: str) -> str:
     return "".join((*out, f"{n}{last}" if n else ""))
 
 
-def pairs_with_inversion(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4) -> list[tuple[str, str, float, str]]:
+def pairs_with_inversion(refs: Sequence[str], reads: Sequence[str], scoring: Scoring = ALIGN, least: int = 20, penalty: float = -10.0, hits: int = 4, inner: Scoring | None = None) -> list[tuple[str, str, float, str]]:
     """(ref_aln, read_aln, score, cigar) of pairs where stretches of the read may be inverted (ALN9): each stands reverse-complemented, between < and > in the CIGAR.
 
     The stretches are local alignments with the read's reverse complement, of at least so many reference bases: the best ``hits`` and all behind them until one is
-    shorter. One global alignment may jump over any number of them; the plain alignment wins ties.
+    shorter. They score by ``inner``, or else by scoring; where gaps are so cheap that unrelated bases align at a gain, they run past the ends of what is inverted.
+    One global alignment may jump over any number of them; the plain alignment wins ties.
     """
     best = [(a, b, score, cigar_of(a, b)) for a, b, score in align_pairs(refs, reads, scoring)]
     shapes: dict[tuple[int, int], list[tuple[int, list[Jump]]]] = {}
-    for k, found in enumerate(local_pairs(refs, [reverse_complement(r) for r in reads], scoring, hits, least)):
+    for k, found in enumerate(local_pairs(refs, [reverse_complement(r) for r in reads], inner or scoring, hits, least)):
         jumps = []
-        for x, y, inner, at, start in found:
+        for x, y, gain, at, start in found:
             n, m = len(x.replace("-", "")), len(y.replace("-", ""))
             if n >= max(least, 1):
-                jumps.append((at, len(reads[k]) - start - m, at + n, len(reads[k]) - start, inner + penalty, (x, y)))
+                jumps.append((at, len(reads[k]) - start - m, at + n, len(reads[k]) - start, gain + penalty, (x, y)))
         if jumps:
             shapes.setdefault((len(refs[k]), len(reads[k])), []).append((k, jumps))
     for (rows, cols), own in shapes.items():
@@ -401,15 +474,29 @@ def _sound(of_pairs):
     return rows
 
 
-def align(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq") -> DataFrame:
+def align(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", band: int | None = None) -> DataFrame:
     """df with ref_aln, read_aln, score and cigar of its pairs (ALN2, ALN3); null where either is null. Narrow."""
 
-    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: [(*r, cigar_of(r[0], r[1])) for r in align_pairs(a, b, scoring)]))
+    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: [(*r, cigar_of(r[0], r[1])) for r in align_pairs(a, b, scoring, band)]))
+
+
+def convex(df: DataFrame, scoring: Convex = Convex(), reference: str = "reference", read: str = "seq") -> DataFrame:
+    """As align(), with gaps of convex cost."""
+    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: [(*r, cigar_of(r[0], r[1])) for r in (align_convex(x, y, scoring) for x, y in zip(a, b))]))
 
 
-def with_inversions(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", least: int = 20) -> DataFrame:
+def with_inversions(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", least: int = 20, penalty: float = -10.0, inner: Scoring | None = None) -> DataFrame:
     """As align(), with inversions."""
-    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: pairs_with_inversion(a, b, scoring, least)))
+    return _mapped(df, [reference, read], _ALIGNED, _sound(lambda a, b: pairs_with_inversion(a, b, scoring, least, penalty, inner=inner)))
+
+
+def aligner(name: str | None, scoring: Scoring):
+    """(function of align()'s kind, scoring) of a layout's aligner (ALN18): degenerate (N and tag symbols have their own score), wfa (all symbols are plain
+    letters, the optimum that wavefronts find), inversion (scored by INVERTED and INVERSION). Case is ignored; None is degenerate."""
+    name = (name or "degenerate").lower()
+    if name not in ("degenerate", "wfa", "inversion"):
+        raise ValueError(f"unknown aligner {name!r}")
+    return partial(with_inversions, penalty=INVERSION, inner=INVERTED) if name == "inversion" else align, replace(scoring, special=None) if name == "wfa" else scoring
 
 
 def local(df: DataFrame, scoring: Scoring = ALIGN, reference: str = "reference", read: str = "seq", place: int = 0) -> DataFrame:
@@ -425,12 +512,12 @@ def oriented(df: DataFrame, reference: str = "reference", read: str = "seq") ->
     return _mapped(df, [reference, read], [StructField("forward", BooleanType())], lambda refs, reads: [None if a is None or b is None else (is_forward(a, b),) for a, b in zip(refs, reads)])
 
 
-def align_to_best(reads: DataFrame, references: DataFrame, candidates: str, scoring: Scoring = ALIGN, key: str = "read_id", read: str = "seq") -> DataFrame:
-    """Each read with the best of its candidate references (an array of names), of equal scores the greatest name (ALN15, TOP1).
+def align_to_best(reads: DataFrame, references: DataFrame, candidates: str, scoring: Scoring = ALIGN, key: str = "read_id", read: str = "seq", using=align) -> DataFrame:
+    """Each read with the best of its candidate references (an array of names), of equal scores the greatest name (ALN15, TOP1). using: align or with_inversions.
 
     Candidates are exploded and joined by name, so what a task holds doesn't grow with the number of references.
     """
     pairs = reads.withColumn("ref_name", F.explode(candidates)).join(references.select(F.col("name").alias("ref_name"), F.col("sequence").alias("reference")), "ref_name")
-    done = align(pairs, scoring, "reference", read)
+    done = using(pairs, scoring, "reference", read)
     best = done.groupBy(key).agg(F.max_by(F.struct(*[c for c in done.columns if c not in (key, candidates)]), F.struct("score", "ref_name")).alias("__b"))
     return best.select(key, "__b.*")

@@ -12,6 +12,8 @@ from ..functions import sequence as S
 from .align import MERGE, Scoring, align
 
 SPACER_QUALITY = 39
+#: Ends of the column names of each kind of read.
+_PARTS = {"Read1": "1", "Read2": "2", "Index1": "_index1", "Index2": "_index2"}
 
 
 def concatenated(parts: Sequence[tuple]) -> tuple[Column, Column]:
@@ -60,14 +62,28 @@ def overlapped(df: DataFrame, scoring: Scoring = MERGE) -> DataFrame:
     return done.select(*df.columns, F.col("__m.seq").alias("seq"), F.col("__m.qual").alias("qual"))
 
 
-def merged(df: DataFrame, strategy: str | None, has_second: bool, orientations: Sequence[str] = ("forward", "reverse_complement")) -> DataFrame:
-    """df with seq and qual by the layout's strategy (MRG4): align, concatenate, concatenate_both_forward; without a second read, read 1 alone."""
-    if not has_second:
-        return df.withColumn("seq", F.col("seq1")).withColumn("qual", F.col("qual1"))
-    if strategy == "align":
+def merged(df: DataFrame, strategy: str | None, has_second: bool, reads: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """df with seq and qual by the layout's strategy and its reads, (Read1, Read2, Index1 or Index2: orientation) and (Spacer: sequence) (MRG4).
+
+    align: reads 1 and 2 by their overlap. concatenate: the layout's parts in its order (without any: read 1, and read 2 turned and complemented);
+    concatenate_both_forward: the same, no part turned. Without a second read and an index: read 1 alone, in its orientation. The columns of df tell which
+    indices there are; ValueError where the layout and the strategy don't fit the reads. A row that lacks a part has null.
+    """
+    here = {kind for kind, c in _PARTS.items() if f"seq{c}" in df.columns and (has_second or kind != "Read2")}
+    how = dict(r for r in reads if r[0] != "Spacer")
+    if here == {"Read1"}:
+        parts = [("Read1", how.get("Read1", "forward"))]
+    elif strategy == "align":
+        if here != {"Read1", "Read2"}:
+            raise ValueError(f"only reads 1 and 2 can be merged by their overlap, not {sorted(here)}")
         return overlapped(df)
-    if strategy in ("concatenate", "concatenate_both_forward"):
-        how = ("forward", "forward") if strategy.endswith("forward") else orientations
-        seq, qual = concatenated([("read", F.col("seq1"), F.col("qual1"), how[0]), ("read", F.col("seq2"), F.col("qual2"), how[1])])
-        return df.withColumn("seq", seq).withColumn("qual", qual)
-    raise ValueError(f"two reads need a merge strategy, not {strategy!r}")
+    elif strategy in ("concatenate", "concatenate_both_forward"):
+        parts = list(reads) or [("Read1", "forward"), ("Read2", "reverse_complement")]
+        if {kind for kind, _ in parts} - {"Spacer"} != here:
+            raise ValueError(f"the layout's reads {parts} aren't those given, {sorted(here)}")
+    else:
+        raise ValueError(f"reads {sorted(here)} need a merge strategy, not {strategy!r}")
+    turn = lambda o: "forward" if strategy == "concatenate_both_forward" else o
+    columns = [("spacer", o) if kind == "Spacer" else ("read", F.col(f"seq{_PARTS[kind]}"), F.col(f"qual{_PARTS[kind]}"), turn(o)) for kind, o in parts]
+    seq, qual = concatenated(columns)
+    return df.withColumn("seq", seq).withColumn("qual", qual)

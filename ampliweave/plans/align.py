@@ -14,12 +14,12 @@ from ..operators import align as A
 from ..operators import filters, reference
 
 
-def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | None = None, known_strand: bool = True, multiplier: float = 2.0, least: int = 0, key: str = "read_id", exhaustive: bool = False) -> DataFrame:
+def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | None = None, known_strand: bool = True, multiplier: float = 2.0, least: int = 0, key: str = "read_id", exhaustive: bool = False, aligner: str | None = None) -> DataFrame:
     """key, ref_name, reference, seq, ref_aln, read_aln, score, cigar for reads (key, seq) and references (name, sequence) (ALN13).
 
     One reference: all reads go to it. Several: a read goes to the reference that wins its k-mer votes; without a clear winner, to the best alignment among those with a
     vote; without any vote (or with exhaustive), among all. Reads of an unknown strand are turned first, by seeds for one reference and by votes for several.
-    Reads outside of the length bounds are left out. The list of names is on the driver: references are as many as amplicons.
+    aligner: see operators.align.aligner(). Reads outside of the length bounds are left out. The list of names is on the driver: references are as many as amplicons.
     """
     sizes = references.agg(F.count("*"), F.max(F.length("sequence"))).first()
     if not sizes[0]:
@@ -30,7 +30,8 @@ def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | No
         one = reads.withColumn("ref_name", F.lit(name)).withColumn("reference", F.lit(sequence))
         if not known_strand:
             one = A.oriented(one).withColumn("seq", F.when(F.col("forward"), F.col("seq")).otherwise(S.reverse_complement(F.col("seq")))).drop("forward")
-        return A.align(one, scoring or A.SIMPLE)
+        using, scoring = A.aligner(aligner, scoring or A.SIMPLE)
+        return using(one, scoring)
     kmers = reference.unique_kmers(references)
     if not known_strand:
         total = lambda df, n: reference.votes(df, kmers, key=key).groupBy(key).agg(F.sum("n").alias(n))
@@ -42,14 +43,15 @@ def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | No
     chosen = reference.choose(reference.votes(reads, kmers, key=key), key=key)
     some = reads.join(chosen, key, "left")
     candidates = names if exhaustive else F.when(F.col("ref_name").isNotNull(), F.array("ref_name")).otherwise(F.coalesce("refs", names))
-    return A.align_to_best(some.select(key, "seq", candidates.alias("candidates")), references, "candidates", scoring or A.ALIGN, key)
+    using, scoring = A.aligner(aligner, scoring or A.ALIGN)
+    return A.align_to_best(some.select(key, "seq", candidates.alias("candidates")), references, "candidates", scoring, key, using=using)
 
 
 def with_read_qualities(aligned: DataFrame, reads: DataFrame, key: str = "read_id") -> DataFrame:
-    """aligned with qual, the qualities of reads (key, seq, qual) in the order of the aligned bases: turned round where the read was."""
+    """aligned with qual, the qualities of reads (key, seq, qual) in the order of the aligned bases: turned round where the read was; null where a stretch of it is inverted."""
     own = reads.select(key, F.col("seq").alias("__seq"), F.col("qual").alias("__qual"))
     joined = aligned.join(own, key)
-    return joined.withColumn("qual", F.when(F.upper("seq") == F.upper("__seq"), F.col("__qual")).otherwise(F.reverse("__qual"))).drop("__seq", "__qual")
+    return joined.withColumn("qual", F.when(F.contains("cigar", F.lit("<")), None).when(F.upper("seq") == F.upper("__seq"), F.col("__qual")).otherwise(F.reverse("__qual"))).drop("__seq", "__qual")
 
 
 def with_record_tags(aligned: DataFrame, symbols: Mapping[str, Sequence[str]], key: str = "read_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -21,13 +22,13 @@ def levels_of(spark: SparkSession, reference: L.Reference, folder: str) -> list[
     return [correct.Level(f"tag{t.order}", t.length, t.max_distance, lists.get(t.name), t.metric, t.ratio, t.max_gaps) for t in reference.tags]
 
 
-def run_align(spark: SparkSession, layout: L.Layout, read1: str, read2: str | None, out: str, sam: str | None = None) -> None:
+def run_align(spark: SparkSession, layout: L.Layout, read1: str, read2: str | None, out: str, sam: str | None = None, index1: str | None = None, index2: str | None = None) -> None:
     """FASTQ to a parquet table of alignments with their qualities and record tags, and with sam to SAM files of them too."""
-    others = {"read2": sequences.read_fastq(spark, read2)} if read2 else {}
+    others = {name: sequences.read_fastq(spark, path) for name, path in (("read2", read2), ("index1", index1), ("index2", index2)) if path}
     mates = sequences.zip_mates(sequences.read_fastq(spark, read1), **others)
-    reads = merge.merged(mates, layout.merge, bool(read2)).select(F.col("id1").alias("read_id"), "seq", "qual")
+    reads = merge.merged(mates, layout.merge, bool(read2), layout.reads).select(F.col("id1").alias("read_id"), "seq", "qual")
     refs = spark.createDataFrame([(r.name, r.sequence) for r in layout.references], "name string, sequence string")
-    done = with_read_qualities(align_reads(reads, refs, known_strand=layout.known_strand), reads)
+    done = with_read_qualities(align_reads(reads, refs, known_strand=layout.known_strand, aligner=layout.aligner), reads)
     with_record_tags(done, {r.name: [t.symbol for t in r.tags] for r in layout.references}).withColumn("flag", F.lit(0)).write.parquet(out)
     if sam:
         written = spark.read.parquet(out).withColumn("quals", F.col("qual")).withColumnRenamed("tags", "__tags")
@@ -35,11 +36,17 @@ def run_align(spark: SparkSession, layout: L.Layout, read1: str, read2: str | No
 
 
 def run_collapse(spark: SparkSession, layout: L.Layout, aligned: str, out: str, folder: str, mode: str = "collapse") -> None:
-    """Alignments to SAM files of consensus reads, or of corrected reads; references with other tags are other jobs of one output."""
+    """Alignments to SAM files of consensus reads, or of corrected reads, a folder for each set of references with the same tags, named by the first of them.
+
+    References of one set go through one plan (SET4); the alignments are partly read again only for another set.
+    """
     rows = usable(spark.read.parquet(aligned))
     sizes = [(r.name, len(r.sequence)) for r in layout.references]
+    sets: dict[tuple[L.Tag, ...], list[str]] = {}
     for r in layout.references:
-        own = with_tags(rows.where(F.col("ref_name") == r.name), {f"tag{t.order}": t.symbol for t in r.tags})
+        sets.setdefault(r.tags, []).append(r.name)
+    for r in (next(r for r in layout.references if r.name == names[0]) for names in sets.values()):
+        own = with_tags(rows.where(F.col("ref_name").isin(sets[r.tags])), {f"tag{t.order}": t.symbol for t in r.tags})
         qual = F.col("qual") if "qual" in rows.columns else None
         done = collapse(own, levels_of(spark, r, folder), mode, quality=qual)
         if mode == "correct" and qual is not None:
@@ -56,6 +63,9 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--layout", required=True)
     a.add_argument("--read1", required=True)
     a.add_argument("--read2")
+    a.add_argument("--index1")
+    a.add_argument("--index2")
+    a.add_argument("--aligner", choices=("wfa", "degenerate", "inversion"), type=str.lower, help="instead of the layout's")
     a.add_argument("--out", required=True)
     a.add_argument("--sam")
     c = jobs.add_parser("collapse")
@@ -67,7 +77,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("ampliweave").getOrCreate()
     spec = L.load(Path(o.layout).read_text())
     if o.job == "align":
-        run_align(spark, spec, o.read1, o.read2, o.out, o.sam)
+        spec = replace(spec, aligner=o.aligner) if o.aligner else spec
+        run_align(spark, spec, o.read1, o.read2, o.out, o.sam, o.index1, o.index2)
     else:
         run_collapse(spark, spec, o.aligned, o.out, str(Path(o.layout).resolve().parent), o.mode)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -135,3 +136,72 @@ def test_jobs_and_merging(spark):
     assert merge.merged(pair, None, False).first().seq == seqs[0][:40]
     with pytest.raises(ValueError):
         merge.merged(pair, None, True)
+
+
+def test_band():
+    rng = random.Random(3)
+    for _ in range(150):
+        ref = "".join(rng.choices("ACGT", k=rng.randint(1, 20)))
+        read = "".join(c for c in ref if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=rng.randint(0, 4))) or "A"
+        for scoring in A.PRESETS.values():
+            whole = A.align_pairs([ref], [read], scoring)[0]
+            assert A.align_pairs([ref], [read], scoring, min(len(ref), len(read)))[0] == whole
+            last = None
+            for band in (0, 1, 3):
+                a, b, score = A.align_pairs([ref], [read], scoring, band)[0]
+                assert a.replace("-", "") == ref and b.replace("-", "") == read
+                x, y, off = 0, 0, []
+                for p, q in zip(a, b):
+                    x, y = x + (p != "-"), y + (q != "-")
+                    off.append(y - x)
+                side = len(read) - len(ref)
+                assert min(off) >= min(0, side) - band and max(off) <= max(0, side) + band
+                assert score <= whole[2] and (last is None or score >= last)
+                last = score
+    with pytest.raises(ValueError):
+        A.align_pairs(["A"], ["A"], band=-1)
+
+
+def all_alignments(ref, read):
+    if not ref and not read:
+        yield "", ""
+    if ref and read:
+        yield from ((ref[0] + a, read[0] + b) for a, b in all_alignments(ref[1:], read[1:]))
+    if ref:
+        yield from ((ref[0] + a, "-" + b) for a, b in all_alignments(ref[1:], read))
+    if read:
+        yield from (("-" + a, read[0] + b) for a, b in all_alignments(ref, read[1:]))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ACG", max_size=5), st.text("ACG", max_size=5), st.sampled_from([A.Convex(), A.Convex(1, -1, -1, -3), A.Convex(5, -4, 0, 0, -2)]))
+def test_convex_against_all_alignments(ref, read, scoring):
+    import itertools
+
+    def cost(a, b):
+        total = sum(scoring.match if p == q else scoring.mismatch for p, q in zip(a, b) if "-" not in (p, q))
+        kinds = [(k, len(list(g))) for k, g in itertools.groupby(zip(a, b), lambda c: "D" if c[1] == "-" else "I" if c[0] == "-" else "M")]
+        return total + sum(float(scoring.gaps(n)[-1]) for k, n in kinds if k != "M")
+
+    a, b, score = A.align_convex(ref, read, scoring)
+    assert a.replace("-", "") == ref and b.replace("-", "") == read
+    assert score == pytest.approx(max(cost(*p) for p in all_alignments(ref, read)))
+    if scoring.gap_scale:
+        assert cost(a, b) == pytest.approx(score)
+
+
+def test_aligner_choice(spark):
+    rng = random.Random(8)
+    ref = "".join(rng.choices("ACGT", k=140))
+    turned = ref[:50] + A.reverse_complement(ref[50:90]) + ref[90:]
+    df = spark.createDataFrame([(0, ref, ref), (1, ref, turned), (2, ref, None)], "read_id int, reference string, seq string")
+    cigars = {}
+    for name in ("wfa", "Degenerate", "inversion", None):
+        using, scoring = A.aligner(name, A.ALIGN)
+        cigars[name] = {r.read_id: r.cigar for r in using(df, scoring).collect()}
+    assert cigars["inversion"][0] == "140M" and cigars["inversion"][2] is None and "<" not in cigars["wfa"][1] and cigars[None] == cigars["Degenerate"]
+    assert re.search("<[^>]*40M[^>]*>", cigars["inversion"][1])  # the whole stretch is inside; few bases beside it may match by chance
+    assert A.align_pairs(["ANA"], ["ACA"], A.aligner("wfa", A.ALIGN)[1])[0][2] == 11.0 and A.align_pairs(["ANA"], ["ACA"])[0][2] == 29.0
+    assert A.convex(df.where("read_id = 0")).first().cigar == "140M"
+    with pytest.raises(ValueError):
+        A.aligner("odd", A.ALIGN)

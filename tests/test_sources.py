@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliweave import layout as L
+from ampliweave.operators import align as A
 from ampliweave.sources import alignments, sequences, single_cell
 
 
@@ -134,6 +135,43 @@ def test_command_line(spark, tmp_path):
     assert len(each) == 60 and all(each[k].qual == reads[k].qual and each[k].tags["o0"] == reads[k].tags["e0"] for k in each)
 
 
+def test_layout_of_reads(spark, tmp_path):
+    """Index, spacer, turned mate and two references with the same tags."""
+    from ampliweave.operators import merge
+    from ampliweave.plans import cli
+
+    text = LAYOUT.replace("merge: Align", "merge: Concatenate").replace("  - !Read1", "  - !Index1 {orientation: Reverse}\n  - !Read1").replace("{spacer_sequence: ACGT}", "{spacer_sequence: GTGTGTGT}")
+    head = text[: text.index("  amplicon:")]
+    one = text[text.index("  amplicon:") :].replace("cells.txt", "").replace(", file: ,", ",").replace("KnownTag", "DegenerateTag")
+    parts = {"amplicon": ("CAAG", "GGCATTTTACGGACTGATCAGGACTTGC"), "other": ("GTTC", "GGCATTTTACGGTTAACCGGATATCGGA")}
+    refs = {n: i + "ACGT00000000TTGCA111111" + "GTGTGTGT" + end for n, (i, end) in parts.items()}
+    body = one.replace("ACGT00000000TTGCA111111GGCATTTTACGGACTGATCAGG", refs["amplicon"])
+    text = head + body + body.replace("amplicon:", "other:").replace(refs["amplicon"], refs["other"])
+    layout = L.load(text)
+    assert [k for k, _ in layout.reads] == ["Index1", "Read1", "Spacer", "Read2"] and layout.references[0].tags == layout.references[1].tags
+    files, want = {"1": [], "2": [], "i": []}, {}
+    for n, (name, (index, end)) in enumerate(parts.items()):
+        for k in range(4):
+            for file, seq in (("1", f"ACGT{'ACACGTGT'}TTGCA{'AACCGG'}"), ("2", A.reverse_complement(end)), ("i", index[::-1])):
+                files[file].append(f"@r{n}{k}\n{seq}\n+\n{''.join(chr(50 + j) for j in range(len(seq)))}\n")
+            want[f"r{n}{k}"] = refs[name].replace("0" * 8, "ACACGTGT").replace("1" * 6, "AACCGG")
+    for name, lines in files.items():
+        (tmp_path / f"{name}.fastq").write_text("".join(lines))
+    path = lambda name: f"file://{tmp_path}/{name}"
+    cli.run_align(spark, layout, path("1.fastq"), path("2.fastq"), path("aligned"), index1=path("i.fastq"))
+    got = {r.read_id: r for r in spark.read.parquet(path("aligned")).collect()}
+    assert {k: r.seq for k, r in got.items()} == want and {k: r.ref_name for k, r in got.items()} == {f"r{n}{k}": name for n, name in enumerate(parts) for k in range(4)}
+    assert all(len(r.qual) == len(r.seq) and list(r.qual[:4]) == [20, 19, 18, 17] and list(r.qual[27:35]) == [39] * 8 for r in got.values())
+    cli.run_collapse(spark, layout, path("aligned"), path("out"), str(tmp_path))
+    made = {r.ref_name: r for r in alignments.read_sam(spark, path("out/amplicon")).collect()}
+    assert {n: (r.tags["e0"], r.tags["e1"], r.tags["rc"]) for n, r in made.items()} == {n: ("ACACGTGT", "AACCGG", "4") for n in parts}
+    assert not (tmp_path / "out" / "other").exists()
+    pair = spark.createDataFrame([("AC", [1, 2], "GT", [3, 4], "T", [5])], "seq1 string, qual1 array<int>, seq2 string, qual2 array<int>, seq_index1 string, qual_index1 array<int>")
+    for strategy, reads in (("align", layout.reads), ("concatenate", layout.reads[1:]), (None, ())):
+        with pytest.raises(ValueError):
+            merge.merged(pair, strategy, True, reads)
+
+
 def test_streaming(spark, tmp_path):
     from ampliweave.streaming import first_of_molecule, tag_counts
 
