@@ -40,8 +40,7 @@ def align_reads(reads: DataFrame, references: DataFrame, scoring: A.Scoring | No
         forward = F.coalesce("__f", F.lit(0)) > F.coalesce("__r", F.lit(0))
         reads = sums.select(key, F.when(forward, F.col("seq")).otherwise(S.reverse_complement(F.col("seq"))).alias("seq"))
     names = F.array(*[F.lit(r[0]) for r in references.select("name").distinct().orderBy("name").collect()])
-    chosen = reference.choose(reference.votes(reads, kmers, key=key), key=key)
-    some = reads.join(chosen, key, "left")
+    some = reads if exhaustive else reads.join(reference.choose(reference.votes(reads, kmers, key=key), key=key), key, "left")
     candidates = names if exhaustive else F.when(F.col("ref_name").isNotNull(), F.array("ref_name")).otherwise(F.coalesce("refs", names))
     using, scoring = A.aligner(aligner, scoring or A.ALIGN)
     return A.align_to_best(some.select(key, "seq", candidates.alias("candidates")), references, "candidates", scoring, key, using=using)

@@ -205,3 +205,71 @@ def test_aligner_choice(spark):
     assert A.convex(df.where("read_id = 0")).first().cigar == "140M"
     with pytest.raises(ValueError):
         A.aligner("odd", A.ALIGN)
+
+
+def _edited(rng, ref):
+    s = list(ref)
+    for _ in range(rng.choice([0, 1, 2, 4])):
+        i = rng.randrange(len(s))
+        s[i : i + rng.randint(0, 4)] = rng.choices("ACGTN0", k=rng.randint(0, 3))
+    return "".join(s)
+
+
+def test_scores_alone_and_bands_are_those_of_whole_matrices(monkeypatch):
+    """Pairs that a band settles, and those that it doesn't, have the alignment and the ties of the whole matrix."""
+    rng = random.Random(12)
+    refs = ["".join(rng.choices(rng.choice(["ACGT", "AC"]), k=rng.choice([12, 24]))) for _ in range(80)]
+    reads = [_edited(rng, r) if rng.random() < 0.8 else "".join(rng.choices("ACGT", k=rng.randint(0, 30))) for r in refs]
+    monkeypatch.setattr(A, "TOGETHER", 16)
+    for scoring in (*A.PRESETS.values(), A.INVERTED, A.Scoring(1, -2, 1, -1, 0, 1.0)):
+        whole = [plain(a, b, scoring) if a and b else A._edge(a.encode(), b.encode(), scoring) for a, b in zip(refs, reads)]
+        assert A.align_pairs(refs, reads, scoring) == whole
+        assert A.pair_scores(refs, reads, scoring) == [r[2] for r in whole]
+
+
+def test_equal_pairs_are_aligned_once():
+    """aln15_exhaustive: a batch of equal reads costs one alignment, and a read is scored once against each reference."""
+    seen = []
+    rows = A._sound(lambda a, b: seen.append(len(a)) or [(x + y,) for x, y in zip(a, b)])
+    assert rows(["A", "A", None, "C", "A"], ["G", "G", "G", None, "T"]) == [("AG",), ("AG",), None, None, ("AT",)] and seen == [2]
+
+
+def test_best_of_all_references_with_equal_reads_and_ties(spark):
+    refs = spark.createDataFrame([("a", "ACGTACGTAC"), ("b", "ACGTACGTAC"), ("c", "TTTTTTTTTT")], "name string, sequence string")
+    rows = [(i, "ACGTACGTAC" if i % 2 else "TTTTTNTTTT", ["a", "b", "c"] if i != 3 else ["a", "c"]) for i in range(6)]
+    done = A.align_to_best(spark.createDataFrame(rows, "read_id long, seq string, names array<string>"), refs, "names")
+    got = {r.read_id: (r.ref_name, r.cigar, r.score) for r in done.collect()}
+    assert got == {i: (("b" if i != 3 else "a"), "10M", 100.0) if i % 2 else ("c", "10M", 99.0) for i in range(6)}
+    assert done.columns == ["read_id", "ref_name", "seq", "reference", "ref_aln", "read_aln", "score", "cigar"]
+
+
+def test_clipped_ends_are_aligned_together(monkeypatch):
+    """cig9_clip_recovery: one call for the ends of a batch, not two a read."""
+    rng, calls, whole = random.Random(5), [], A.align_pairs
+    refs = ["".join(rng.choices("ACGT", k=32)) for _ in range(40)]
+    reads = [_edited(rng, r) + "ACGTACGTACGT" for r in refs]
+    ops = [[("S", 4), ("M", 8), ("S", len(r) - 12)] for r in reads]
+    want = [A.recover_clips(a, b, o, 4) for a, b, o in zip(refs, reads, ops)]
+    monkeypatch.setattr(A, "align_pairs", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    assert A.recovered_clips(refs, reads, ops, [4] * 40) == want and len(calls) == 1
+
+
+def test_local_alignments_take_no_call_a_cell(monkeypatch):
+    """aln8_next_best, aln9_inversions: the matrices of a batch and the ways back of all its pairs go a step at a time."""
+    rng = random.Random(6)
+    refs = ["".join(rng.choices("ACGT", k=20)) for _ in range(30)]
+    want = [A.local_pairs([r], [r[::-1]], A.ALIGN, 2)[0] for r in refs]
+    monkeypatch.setattr(A, "_best", None)
+    assert A.local_pairs(refs, [r[::-1] for r in refs], A.ALIGN, 2) == want
+    for ref, read, found in zip(refs, (r[::-1] for r in refs), want):
+        for a, b, score, x, y in found:
+            assert len(a) == len(b) and ref[x:].startswith(a.replace("-", "")) and read[y:].startswith(b.replace("-", "")) and score > 0
+
+
+def test_equal_reads_need_no_matrix(monkeypatch):
+    """aln1_simple, aln2_affine, aln16_scorings: a read without a difference is settled by what any gap would cost."""
+    monkeypatch.setattr(A, "_global", None)
+    monkeypatch.setattr(A, "_exact", None)
+    refs = ["ACGTTGCAACGTTGCA", "TTGACCATTGACCATG"]
+    for s in A.PRESETS.values():
+        assert A.align_pairs(refs, refs, s) == [(r, r, 16 * s.match) for r in refs]
