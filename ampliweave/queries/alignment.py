@@ -149,7 +149,7 @@ def mrg4_strategies(spark, sf_dir):
 def cig9_clip_recovery(spark, sf_dir):
     """Reads clipped by four bases on either side, laid along the whole reference again."""
     fields = [StructField("ref_aln", StringType()), StructField("read_aln", StringType())]
-    df = A._mapped(reads(spark, sf_dir).select("read_id", "molecule", "seq"), ["molecule", "seq"], fields, lambda a, b: [A.recover_clips(x, y, [("S", 4), ("M", 24), ("S", 4)], 4) for x, y in zip(a, b)])
+    df = A._mapped(reads(spark, sf_dir).select("read_id", "molecule", "seq"), ["molecule", "seq"], fields, lambda a, b: A.recovered_clips(a, b, [[("S", 4), ("M", 24), ("S", 4)]] * len(a), [4] * len(a)))
     return df.select("read_id", S.strip_gaps(_c("ref_aln")).alias("reference"), S.strip_gaps(_c("read_aln")).alias("read"))
 
 
