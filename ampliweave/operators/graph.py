@@ -17,9 +17,9 @@ from .radius import close_pairs
 BLOCK, POSITIONS = 2048, 64
 
 
-def similarity_graph(strings: DataFrame, column: str, d: int) -> DataFrame:
-    """Edges (a, b, distance), a < b, of the distinct strings at Hamming distance d or less (CLU2)."""
-    return close_pairs(strings, column, d, "hamming")
+def similarity_graph(strings: DataFrame, column: str, d: int, length: int | None = None) -> DataFrame:
+    """Edges (a, b, distance), a < b, of the distinct strings at Hamming distance d or less (CLU2). length: how long most of them are, if that is known."""
+    return close_pairs(strings, column, d, "hamming", length)
 
 
 def components(vertices: DataFrame, edges: DataFrame, vertex: str = "v", a: str = "a", b: str = "b") -> DataFrame:
@@ -37,9 +37,9 @@ def components(vertices: DataFrame, edges: DataFrame, vertex: str = "v", a: str
             return labels.select(F.col("v").alias(vertex), F.col("label").alias("component"))
 
 
-def single_linkage(strings: DataFrame, column: str, below: int = 2) -> DataFrame:
+def single_linkage(strings: DataFrame, column: str, below: int = 2, length: int | None = None) -> DataFrame:
     """(column, component) of strings linked by edit distances under a bound (CLU6)."""
-    return components(strings, close_pairs(strings, column, below - 1), column)
+    return components(strings, close_pairs(strings, column, below - 1, length=length), column)
 
 
 def _grouped(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -327,12 +327,12 @@ def _short(spark, sf_dir) -> DataFrame:
 
 @query(_SHORT.format(f="levenshtein", d=1) + " SELECT * FROM edges")
 def jon14_edit_distance_pairs(spark, sf_dir):
-    return radius.close_pairs(_short(spark, sf_dir), "v", 1)
+    return radius.close_pairs(_short(spark, sf_dir), "v", 1, length=10)
 
 
 @query(_SHORT.format(f="hamming", d=2) + " SELECT * FROM edges")
 def clu2_similarity_graph(spark, sf_dir):
-    return graph.similarity_graph(_short(spark, sf_dir), "v", 2)
+    return graph.similarity_graph(_short(spark, sf_dir), "v", 2, 10)
 
 
 _REACH = ", reach AS (SELECT v, v AS w FROM s UNION SELECT r.v, CASE WHEN e.a = r.w THEN e.b ELSE e.a END FROM reach r JOIN edges e ON e.a = r.w OR e.b = r.w) SELECT v, min(w) AS component FROM reach GROUP BY v"
@@ -341,22 +341,22 @@ _REACH = ", reach AS (SELECT v, v AS w FROM s UNION SELECT r.v, CASE WHEN e.a =
 @query(_RECURSIVE + _SHORT.format(f="hamming", d=1) + _REACH)
 def clu3_components(spark, sf_dir):
     s = _short(spark, sf_dir)
-    return graph.components(s, graph.similarity_graph(s, "v", 1))
+    return graph.components(s, graph.similarity_graph(s, "v", 1, 10))
 
 
 @query()
 def clu4_balanced_parts(spark, sf_dir):
-    return graph.balanced_parts(graph.similarity_graph(_short(spark, sf_dir), "v", 1), 1)
+    return graph.balanced_parts(graph.similarity_graph(_short(spark, sf_dir), "v", 1, 10), 1)
 
 
 @query()
 def clu5_complete_subgraphs(spark, sf_dir):
-    return graph.complete_subgraphs(graph.similarity_graph(_short(spark, sf_dir), "v", 1))
+    return graph.complete_subgraphs(graph.similarity_graph(_short(spark, sf_dir), "v", 1, 10))
 
 
 @query(_RECURSIVE + _SHORT.format(f="levenshtein", d=1) + _REACH)
 def clu6_single_linkage(spark, sf_dir):
-    return graph.single_linkage(_short(spark, sf_dir), "v")
+    return graph.single_linkage(_short(spark, sf_dir), "v", length=10)
 
 
 @query(""",

@@ -100,3 +100,19 @@ def test_both_ways_to_meet_find_all_pairs(spark):
         want = sorted((x, y, apart(x, y)) for x in strings for y in strings if apart(x, y) <= d)
         for length in (None, 6):
             assert sorted(map(tuple, radius.levenshtein_pairs(left, right, "a", "b", d, length=length).collect())) == want
+
+
+def test_short_strings_meet_by_what_is_left(spark):
+    """clu2_similarity_graph: strings of the named length meet by all but d characters, each pair once; those of other lengths are found too."""
+    from ampliweave.operators import radius
+
+    rng = random.Random(13)
+    strings = sorted({"".join(rng.choices("ACN", k=rng.choice([5, 5, 5, 5, 4, 7]))) for _ in range(90)} | {""})
+    df = spark.createDataFrame([(s,) for s in strings], "v string")
+    two = spark.createDataFrame([("g", "AAAAA"), ("h", "AAAAC")], "g string, a string"), spark.createDataFrame([("g", "AAACC"), ("h", "AAAAC")], "g string, b string")
+    for d in (1, 2, 3):
+        want = sorted((x, y, n) for x in strings for y in strings if x < y and len(x) == len(y) and (n := sum(p != q for p, q in zip(x, y))) <= d)
+        assert sorted(map(tuple, radius.close_pairs(df, "v", d, "hamming", 5).collect())) == want
+        assert sorted(map(tuple, radius.close_pairs(df, "v", d, "hamming").collect())) == want
+        got = sorted(map(tuple, radius.hamming_pairs(*two, "a", "b", d, ["g"], 5).collect()))
+        assert got == ([("g", "AAAAA", "AAACC", 2)] if d > 1 else []) + [("h", "AAAAC", "AAAAC", 0)]
