@@ -1,14 +1,15 @@
 """Pileups and consensus reads (AGG3 to AGG7, CON1 to CON7).
 
-Columns of a pileup are keyed by (position in the reference, place in an insertion), so the result doesn't depend on the order of reads, and a group of any size is
-summed by partial aggregation; only the few hundred columns of a consensus meet in a row.
+Columns of a pileup are keyed by (position in the reference, place in an insertion), so the result doesn't depend on the order of reads. Reads are dealt by their group
+before they become columns, so only reads are shuffled; groups of over HOT reads, of which there are few, are summed by partial aggregation where the reads are, so a
+group may have any size. Only the few hundred columns of a consensus meet in a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
@@ -16,6 +17,10 @@ from ..functions import cigar as C
 from ..functions import quality as Q
 
 BASES = ("A", "C", "G", "T")
+#: Reads of a group that are summed in one task; larger groups are summed where their reads are.
+HOT = 20_000
+#: Input bytes, as the plan estimates them, that a partition of reads has; partitions are PARTS for each core at least.
+PART_BYTES, PARTS = 4 << 20, 2
 
 
 def places_of(aligned: Column) -> Column:
@@ -33,11 +38,37 @@ def columns_of(ref_aln: Column, read_aln: Column, quality: Column | None = None)
     return F.arrays_zip(*parts)
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions for df, in proportion to its size by the plan's estimate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(PARTS * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), 20_000))
+
+
+def by_group(reads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(reads of groups of HOT or fewer, dealt by group; the others where they are), both with __n, the reads of their group. Nulls are a key like any other."""
+    k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    hot = F.broadcast(reads.groupBy(*k).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    some = reads.join(hot, same, "left_anti").repartition(_parts(reads), *keys)
+    some = some.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return some, reads.join(hot, same).drop(*(f"__k{i}" for i in range(len(keys))))
+
+
 def pileup(reads: DataFrame, keys: Sequence[str], quality: Column | None = None) -> DataFrame:
     """keys, pos, ins, ref, n_a, n_c, n_g, n_t, n_n, n_gap (AGG6) and, with a quality, the log2 sums of the alleles.
 
     quality: a number for all bases of a read, or an array with one for each of its bases.
     """
+    own = reads.select(*keys, "ref_aln", "read_aln", *([quality.alias("__quality")] if quality is not None else []))
+    some, hot = (_columns(part, keys, F.col("__quality") if quality is not None else None) for part in by_group(own, keys))
+    return some.unionByName(hot).drop("__n")
+
+
+def _columns(reads: DataFrame, keys: Sequence[str], quality: Column | None) -> DataFrame:
+    """pileup() with __n of reads with __n."""
+    keys = [*keys, "__n"]
     each = quality is not None and isinstance(reads.select(quality).schema[0].dataType, ArrayType)
     own = [quality.alias("__q")] if quality is not None and not each else []
     rows = reads.where(F.length("ref_aln") > 0).select(*keys, *own, F.explode(columns_of(F.col("ref_aln"), F.col("read_aln"), quality if each else None)).alias("x"))
@@ -76,13 +107,14 @@ def _most() -> Column:
     return F.greatest(*[F.struct(F.col(f"n_{b.lower()}").alias("n"), F.lit(b).alias("base")) for b in BASES])
 
 
-def call(piles: DataFrame, keys: Sequence[str], sizes: DataFrame, gap_share: float = 0.75, insertion_share: float = 0.75) -> DataFrame:
-    """keys, pos, ins, ref, base: one row a column of the consensus (CON2, CON4). sizes: keys and n, the reads of each group.
+def call(piles: DataFrame, keys: Sequence[str], sizes: DataFrame | None, gap_share: float = 0.75, insertion_share: float = 0.75) -> DataFrame:
+    """keys, pos, ins, ref, base: one row a column of the consensus (CON2, CON4). sizes: keys and n, the reads of each group; without
+    them piles have n.
 
     A reference column is a gap where gaps reach gap_share; a column of nothing but N is N. An insertion stays where its most frequent base is in
     insertion_share of all reads.
     """
-    df = piles.join(sizes, list(keys)).withColumn("top", _most())
+    df = (piles if sizes is None else piles.join(sizes, list(keys))).withColumn("top", _most())
     called = F.when(F.col("top.n") > 0, F.col("top.base")).when(F.col("n_n") > 0, "N").otherwise("-")
     base = F.when(F.col("ins") > 0, F.col("top.base")).otherwise(F.when(F.col("n_gap") >= gap_share * F.col("n"), "-").otherwise(called))
     return df.withColumn("base", base).where((F.col("ins") == 0) | (F.col("top.n") >= insertion_share * F.col("n")))
@@ -93,8 +125,20 @@ def consensus(reads: DataFrame, keys: Sequence[str], quality: Column | None = No
 
     Reads of a group are aligned to one reference. A single read comes out as it went in (CON7): its own bases win every vote but an insertion's, which it has in full.
     """
-    sizes = reads.groupBy(*keys).agg(F.count("*").alias("n"))
-    df = call(pileup(reads, keys, quality), keys, sizes, gap_share, insertion_share)
+    known = reads.select(*keys, "ref_aln", "read_aln", *([quality.alias("__quality")] if quality is not None else [])).dropna(subset=list(keys))
+    out = [_consensus(part, keys, F.col("__quality") if quality is not None else None, gap_share, insertion_share, prior) for part in by_group(known, keys)]
+    return out[0].unionByName(out[1])
+
+
+def called(reads: DataFrame, keys: Sequence[str], gap_share: float = 0.75, insertion_share: float = 0.75) -> DataFrame:
+    """call() of the pileup of reads, with the sizes of their groups (CON2, CON4)."""
+    known = reads.select(*keys, "ref_aln", "read_aln").dropna(subset=list(keys))
+    out = [call(_columns(part, keys, None).withColumnRenamed("__n", "n"), keys, None, gap_share, insertion_share) for part in by_group(known, keys)]
+    return out[0].unionByName(out[1])
+
+
+def _consensus(reads: DataFrame, keys: Sequence[str], quality: Column | None, gap_share: float, insertion_share: float, prior: float) -> DataFrame:
+    df = call(_columns(reads, keys, quality).withColumnRenamed("__n", "n"), keys, None, gap_share, insertion_share)
     item = [F.col("pos"), F.col("ins"), F.when(F.col("ins") > 0, "-").otherwise(F.col("ref")).alias("ref"), F.col("base")]
     if quality is not None:
         start = lambda a: F.log2(F.when(F.col("ref") == a, F.lit(prior)).otherwise(F.lit((1 - prior) / 4)))
@@ -127,6 +171,11 @@ def majority(reads: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
 def modal_bases(reads: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The sequence of each place's most frequent character in a group; N and - lose ties, then the greatest character wins (AGG14)."""
+    some, hot = (_modal(part, keys, seq) for part in by_group(reads.select(*keys, seq), keys))
+    return some.unionByName(hot)
+
+
+def _modal(reads: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     rows = reads.select(*keys, F.posexplode(F.split(seq, "")).alias("pos", "base")).groupBy(*keys, "pos", "base").agg(F.count("*").alias("n"))
     best = rows.groupBy(*keys, "pos").agg(F.max(F.struct("n", (~F.col("base").isin("N", "-")).alias("real"), "base")).alias("b"))
     return best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("b.base").alias("base")))).alias("x")).select(*keys, F.array_join(F.transform("x", lambda c: c["base"]), "").alias("seq"))

@@ -172,13 +172,13 @@ def agg7_base_share(spark, sf_dir):
 @query(_CALL + " SELECT ref_name, mol, pos, ins, ref, base FROM called")
 def con2_column_calls(spark, sf_dir):
     r = _molecules(spark, sf_dir)
-    return consensus.call(consensus.pileup(r, _KEYS), _KEYS, r.groupBy(*_KEYS).agg(F.count("*").alias("n"))).select(*_KEYS, "pos", "ins", "ref", "base")
+    return consensus.called(r, _KEYS).select(*_KEYS, "pos", "ins", "ref", "base")
 
 
 @query(_CALL + " SELECT ref_name, mol, pos, ins, base FROM called WHERE ins > 0")
 def con4_insertions(spark, sf_dir):
     r = _molecules(spark, sf_dir)
-    return consensus.call(consensus.pileup(r, _KEYS), _KEYS, r.groupBy(*_KEYS).agg(F.count("*").alias("n"))).where("ins > 0").select(*_KEYS, "pos", "ins", "base")
+    return consensus.called(r, _KEYS).where("ins > 0").select(*_KEYS, "pos", "ins", "base")
 
 
 @query(_CONSENSUS + " SELECT * FROM con")
