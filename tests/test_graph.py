@@ -116,3 +116,76 @@ def test_short_strings_meet_by_what_is_left(spark):
         assert sorted(map(tuple, radius.close_pairs(df, "v", d, "hamming").collect())) == want
         got = sorted(map(tuple, radius.hamming_pairs(*two, "a", "b", d, ["g"], 5).collect()))
         assert got == ([("g", "AAAAA", "AAACC", 2)] if d > 1 else []) + [("h", "AAAAC", "AAAAC", 0)]
+
+
+def test_groups_of_any_size_and_columns_that_are_not_shuffled(spark, monkeypatch):
+    """agg6_pileup and what comes of it: reads are dealt by group before they become columns; groups of over HOT reads, and null keys, have the same columns as before."""
+    from ampliweave.operators import consensus
+
+    rows = [(k, a, b, q, b) for k, n in (("x", 40), ("y", 3), (None, 12)) for i in range(n) for a, b, q in [("AC-GT", "ACTG-", i % 9 + 3), ("ACGT", "AGNT", 20)][i % 2 :][:1]]
+    df = spark.createDataFrame(rows, "k string, ref_aln string, read_aln string, q int, seq string")
+    near = lambda d: sorted(([round(v, 6) if isinstance(v, float) else v for v in r] for r in d.collect()), key=str)
+    makers = [lambda: consensus.pileup(df, ["k"]), lambda: consensus.called(df, ["k"]).select("k", "pos", "ins", "base", "n"), lambda: consensus.modal_bases(df, ["k"], "seq")]
+    whole = [near(f()) for f in makers]
+    assert {r[0] for r in whole[1]} == {"x", "y"} and {r[0] for r in whole[0]} == {r[0] for r in whole[2]} == {"x", "y", None}
+    monkeypatch.setattr(consensus, "HOT", 10)
+    assert [near(f()) for f in makers] == whole
+    from contextlib import redirect_stdout
+    from io import StringIO
+
+    out = StringIO()
+    with redirect_stdout(out):
+        consensus._columns(consensus.by_group(df, ["k"])[0], ["k"], None).explain()
+    text = out.getvalue()
+    assert "REPARTITION_BY_NUM" in text and text.index("Generate") < text.index("REPARTITION_BY_NUM") and "Exchange" not in text[: text.index("Generate")]
+
+
+def _split_plainly(neighbours, d):
+    """All distances and all edges tried at every cut."""
+
+    def reach(graph, v):
+        seen, todo = {v: 0}, [v]
+        for x in todo:
+            for y in graph[x]:
+                if y not in seen:
+                    seen[y] = seen[x] + 1
+                    todo.append(y)
+        return seen
+
+    best = None
+    if max(max(reach(neighbours, v).values()) for v in neighbours) > 2 * d:
+        for v in sorted(neighbours):
+            for w in sorted(x for x in neighbours[v] if v < x):
+                less = {x: n - ({w} if x == v else {v} if x == w else set()) for x, n in neighbours.items()}
+                side = set(reach(less, v))
+                if w not in side and (best is None or abs(2 * len(side) - len(less)) < best[0]):
+                    best = (abs(2 * len(side) - len(less)), side, less)
+    if best is None:
+        return [sorted(neighbours)]
+    return sorted(p for s in (True, False) for p in _split_plainly({v: n for v, n in best[2].items() if (v in best[1]) == s}, d))
+
+
+def test_even_cuts_of_large_components_and_plain_ones():
+    """clu4_balanced_parts: the cuts are those of trying every edge, and a long path, a star and a large graph take no more than a pass or so."""
+    rng = random.Random(14)
+    for _ in range(250):
+        n = rng.randint(2, 16)
+        edges = {(rng.randrange(i), i) for i in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.choice([0, 0, 1, 3]))}
+        near = graph._neighbours(*zip(*edges))
+        for d in (0, 1, 2):
+            assert graph.split_balanced(near, d) == _split_plainly(near, d)
+    n = 3000
+    assert len(graph.split_balanced(graph._neighbours(range(n - 1), range(1, n)), 1)) > n // 4
+    assert len(graph.split_balanced(graph._neighbours([0] * n + [1], [*range(1, n + 1), n + 1]), 1)) == 2
+    ring = graph._neighbours([*range(n), *range(n)], [*((i + 1) % n for i in range(n)), *range(n, 2 * n)])
+    assert len(graph.split_balanced(ring, 1)) == n + 1
+
+
+def test_complete_subgraphs_need_no_whole_component(spark):
+    """clu5_complete_subgraphs: vertex by vertex they are those of the whole graph, also with names, self loops and both directions."""
+    rng = random.Random(15)
+    edges = [tuple(rng.choices("abcdefghijkl", k=2)) for _ in range(40)] + [("z", "z"), ("x", "y"), ("y", "x")]
+    want = graph.complete_subgraphs_of(graph._neighbours(*zip(*edges)))
+    done = graph.complete_subgraphs(spark.createDataFrame(edges, "a string, b string"))
+    assert sorted(tuple(r.members) for r in done.collect()) == want
+    assert {(r.component, r.members[0]) for r in done.where("component >= 'x'").collect()} == {("z", "z"), ("x", "x")}
