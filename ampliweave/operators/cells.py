@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar as C
 from ..functions import events as E
 from ..functions import sequence as S
+from ..tables import parts_of
 
 
 def address(df: DataFrame, tags: Sequence[str], name: str = "cell") -> DataFrame:
@@ -51,8 +52,14 @@ def translated(df: DataFrame, translation: DataFrame, source: str, target: str)
 
 
 def integrations(df: DataFrame, known: DataFrame, cell: str, integration: str, above: int = 4000) -> DataFrame:
-    """(integration, cells, n) of known ids in more than so many rows (JON12)."""
-    return df.join(known.select(integration).distinct(), integration).groupBy(integration).agg(F.count_distinct(cell).alias("cells"), F.count("*").alias("n")).where(F.col("n") > above)
+    """(integration, cells, n) of known ids in more than so many rows (JON12).
+
+    Rows are dealt to partitions in proportion to the input and counted by id and cell, then by id; the list is joined with what is left.
+    """
+    own = df.where(F.col(integration).isNotNull()).select(integration, cell)
+    each = own.repartition(parts_of(own), integration, cell).groupBy(integration, cell).agg(F.count("*").alias("n"))
+    counted = each.groupBy(integration).agg(F.count(cell).alias("cells"), F.sum("n").alias("n")).where(F.col("n") > above)
+    return counted.join(known.select(integration).distinct(), integration)
 
 
 def events_in_windows(events: DataFrame, targets: DataFrame) -> DataFrame:

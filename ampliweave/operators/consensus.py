@@ -15,12 +15,11 @@ from pyspark.sql.types import ArrayType
 
 from ..functions import cigar as C
 from ..functions import quality as Q
+from ..tables import parts_of
 
 BASES = ("A", "C", "G", "T")
 #: Reads of a group that are summed in one task; larger groups are summed where their reads are.
 HOT = 20_000
-#: Input bytes, as the plan estimates them, that a partition of reads has; partitions are PARTS for each core at least.
-PART_BYTES, PARTS = 4 << 20, 2
 
 
 def places_of(aligned: Column) -> Column:
@@ -38,12 +37,6 @@ def columns_of(ref_aln: Column, read_aln: Column, quality: Column | None = None)
     return F.arrays_zip(*parts)
 
 
-def _parts(df: DataFrame) -> int:
-    """Partitions for df, in proportion to its size by the plan's estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(PARTS * df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART_BYTES), 20_000))
-
-
 def by_group(reads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(reads of groups of HOT or fewer, dealt by group; the others where they are), both with __n, the reads of their group. Nulls are a key like any other."""
     k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
@@ -51,7 +44,7 @@ def by_group(reads: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     same = F.lit(True)
     for i, c in enumerate(keys):
         same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    some = reads.join(hot, same, "left_anti").repartition(_parts(reads), *keys)
+    some = reads.join(hot, same, "left_anti").repartition(parts_of(reads), *keys)
     some = some.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     return some, reads.join(hot, same).drop(*(f"__k{i}" for i in range(len(keys))))
 

@@ -189,3 +189,13 @@ def test_complete_subgraphs_need_no_whole_component(spark):
     done = graph.complete_subgraphs(spark.createDataFrame(edges, "a string, b string"))
     assert sorted(tuple(r.members) for r in done.collect()) == want
     assert {(r.component, r.members[0]) for r in done.where("component >= 'x'").collect()} == {("z", "z"), ("x", "x")}
+
+
+def test_integrations_are_counted_in_parts_that_grow_with_the_input(spark):
+    """jon12_integrations: rows are dealt by id and cell before they are counted; nulls and ids that aren't listed count as before."""
+    from ampliweave.operators import cells
+
+    rows = [(1, 7), (1, 7), (1, 8), (1, None), (2, 7), (2, 7), (3, 1), (3, 1), (3, 2), (None, 1), (None, 2), (None, 3)]
+    done = cells.integrations(spark.createDataFrame(rows, "i long, c long"), spark.createDataFrame([(1,), (2,), (2,), (None,)], "i long"), "c", "i", 1)
+    assert sorted(map(tuple, done.collect())) == [(1, 2, 4), (2, 1, 2)] and done.columns == ["i", "cells", "n"]
+    assert "RepartitionByExpression [i" in done._jdf.queryExecution().optimizedPlan().toString()
